@@ -82,3 +82,39 @@ def forward_back_fill(df: DataFrame, order_col: str, cols: list[str],
     d = d.join(F.broadcast(seeds), "_b", "left")
     d = d.withColumns({c: F.coalesce(F.col(f"_f_{c}"), F.col(f"_c_{c}"), F.col(f"_x_{c}")) for c in cols})
     return d.drop("_b", *[f"_{p}_{c}" for c in cols for p in "fcx"])
+
+
+def _split_hot(d: DataFrame, key: str, rows_per_split: int, max_splits: int) -> DataFrame:
+    """Add ``_b``: 0 for ordinary keys; for keys above ``rows_per_split``
+    rows, an ordered time bucket (bounded broadcast of the hot keys)."""
+    hot = (d.groupBy(key)
+           .agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+           .where(F.col("_n") > rows_per_split)
+           .select(key, "_lo", "_hi",
+                   F.least(F.lit(max_splits), F.ceil(F.col("_n") * 4 / F.lit(rows_per_split))).cast("int").alias("_k")))
+    span = (F.col("_hi") - F.col("_lo") + 1).cast("double")
+    bucket = F.when(F.col("_k").isNull(), F.lit(0)).otherwise(
+        F.least(F.col("_k") - 1, F.floor((F.col("_t") - F.col("_lo")).cast("double") * F.col("_k") / span)).cast("int"))
+    return d.join(F.broadcast(hot), key, "left").withColumn("_b", bucket).drop("_lo", "_hi")
+
+
+def previous_values(df: DataFrame, key: str, order_ts: str, tiebreak: str, cols: list[str],
+                    prefix: str = "prev_", rows_per_split: int = ROWS_PER_SPLIT,
+                    max_splits: int = MAX_SPLITS) -> DataFrame:
+    """``lag(c, 1)`` per ``key`` in (``order_ts``, ``tiebreak``) order for each
+    column, without putting a hot key into one task: hot keys are cut into
+    time buckets, lagged inside each bucket, and the first row of a bucket
+    takes the last row of the previous non-empty bucket of its key."""
+    d = _split_hot(df.withColumn("_t", ntz_micros(F.col(order_ts))), key, rows_per_split, max_splits)
+    w = Window.partitionBy(key, "_b").orderBy("_t", tiebreak)
+    d = d.withColumns({"_first": F.row_number().over(w) == 1,
+                       **{f"_lag_{c}": F.lag(c, 1).over(w) for c in cols}})
+    # last row of each bucket of each hot key: at most sum(_k) rows
+    last = (d.where(F.col("_k").isNotNull()).groupBy(key, "_b")
+            .agg(F.max_by(F.struct(*[F.col(c).alias(c) for c in cols]), F.struct("_t", tiebreak)).alias("_last")))
+    wk = Window.partitionBy(key).orderBy("_b")
+    carry = last.select(key, "_b", F.lag("_last", 1).over(wk).alias("_carry"))
+    d = d.join(F.broadcast(carry), [key, "_b"], "left")
+    d = d.withColumns({f"{prefix}{c}": F.when(F.col("_first") & F.col("_k").isNotNull(), F.col("_carry")[c])
+                       .otherwise(F.col(f"_lag_{c}")) for c in cols})
+    return d.drop("_t", "_b", "_k", "_first", "_carry", *[f"_lag_{c}" for c in cols])

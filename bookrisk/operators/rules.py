@@ -101,9 +101,6 @@ def action_details(df: DataFrame) -> DataFrame:
         .otherwise(_int_array([1]))
     sms_days = F.when((F.col("_p") >= S.BAND_CAUTION) & (F.col("_p") < S.BAND_ELEVATED) & F.col("_is_long"),
                       _int_array([3, 1])).otherwise(_int_array([1]))
-    timing = {a: _int_array(spec[1]) for a, spec in S.ACTIONS.items()}
-    timing["SMS_REMINDER"] = sms_days
-    timing["MULTI_REMINDER"] = multi_days
     reason = {
         "NO_ACTION": X.render(X.REASON_NO_ACTION, p=p2),
         "SMS_REMINDER": X.render(X.REASON_SMS, p=p2,
@@ -126,12 +123,20 @@ def action_details(df: DataFrame) -> DataFrame:
                                X.render(X.NOTE_HARD_PREMIUM, service=svc)).otherwise(F.lit(X.NOTE_HARD)),
         "PREPAYMENT": F.lit(X.NOTE_PREPAY),
     }
+    a = F.col("action_type")
+
+    def catalog(i: int, cast: str) -> Column:
+        # one reference to action_type (a literal map), not one per action
+        m = F.create_map(*[x for k, spec in S.ACTIONS.items() for x in (F.lit(k), F.lit(spec[i]).cast(cast))])
+        return F.element_at(m, a)
+
     return df.withColumns({
-        "channels": _by_action({a: _str_array(spec[0]) for a, spec in S.ACTIONS.items()}),
-        "timing_days_before": _by_action(timing),
-        "deposit_pct": _by_action({a: F.lit(spec[2]) for a, spec in S.ACTIONS.items()}),
+        "channels": catalog(0, "array<string>"),
+        "timing_days_before": F.when(a == "SMS_REMINDER", sms_days).when(a == "MULTI_REMINDER", multi_days)
+                                .otherwise(catalog(1, "array<int>")),
+        "deposit_pct": catalog(2, "int"),
         "reason": _by_action(reason),
-        "priority": _by_action({a: F.lit(spec[3]) for a, spec in S.ACTIONS.items()}),
+        "priority": catalog(3, "int"),
         "escalation_note": _by_action(note),
     })
 

@@ -233,3 +233,13 @@ def with_(*names: str, extra: str = "") -> str:
     if extra:
         body = body + ",\n" + extra.strip() if body else extra.strip()
     return "WITH " + body + "\n"
+
+
+def scored_actions(suffix: str, coef: dict) -> str:
+    """The ``sc`` and ``ac`` CTEs for another scorecard, renamed with ``suffix``."""
+    import re
+    sc = (f"sc_raw{suffix} AS (SELECT *, {sig(z_sql(coef))} AS p_raw FROM bk),\n"
+          f"sc{suffix} AS (SELECT * EXCLUDE (p_raw), round_even(p_raw, 4) AS no_show_probability, "
+          f"{level_sql('p_raw')} AS risk_level FROM sc_raw{suffix})")
+    ac = re.sub(r"\b(dg2|dg|ac|sc)\b", lambda m: m.group(1) + suffix, AC.strip())
+    return sc + ",\n" + ac
