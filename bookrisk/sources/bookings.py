@@ -66,9 +66,8 @@ def bookings(spark: SparkSession, sf_dir: str, rows_per_split: int = ROWS_PER_SP
     return b.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.BOOKING.fields])
 
 
-def dirty_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dirty_bookings(b: DataFrame) -> DataFrame:
     """Bookings with injected nulls, unparsable times (as text) and duplicate rows."""
-    b = bookings(spark, sf_dir)
     ok = F.col("Booking_ID")
     b = b.withColumns({
         "Service_Type": F.when(uniform(ok, "n1") < 0.02, F.lit(None).cast("string")).otherwise(F.col("Service_Type")),
