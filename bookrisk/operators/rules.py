@@ -46,18 +46,21 @@ def diagnose(df: DataFrame, prob_col: str = "no_show_probability") -> DataFrame:
 
 
 def risk_drivers(df: DataFrame) -> Column:
-    """Ordered list of active drivers (needs :func:`diagnose` columns)."""
-    items = F.array(
-        F.when(F.col("_is_chronic"), X.render(X.DRIVER_CHRONIC, rate=pct0(F.col("_ns_rate")))),
-        F.when(F.col("_is_cash"), F.lit(X.DRIVER_CASH)),
-        F.when(F.col("_is_new"), F.lit(X.DRIVER_NEW)),
-        F.when(F.col("_is_long"), X.render(X.DRIVER_LONG, lead=F.col("_lead").cast("string"))),
-        F.when(F.col("_is_edge"), F.lit(X.DRIVER_EDGE)),
-        F.when(F.col("_is_weekend"), X.render(X.DRIVER_WEEKEND, day=F.col("Day_of_Week"))),
-        F.when(F.col("_cancel_rate") > S.CANCEL_DRIVER_RATIO,
-               X.render(X.DRIVER_CANCEL, rate=pct0(F.col("_cancel_rate")))),
+    """Ordered list of active drivers (needs :func:`diagnose` columns).
+    A concat of zero-or-one-element arrays, not a lambda filter: higher-order
+    functions are interpreted and would split the whole-stage codegen."""
+    def item(cond: Column, text: Column) -> Column:
+        return F.when(cond, F.array(text)).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(
+        item(F.col("_is_chronic"), X.render(X.DRIVER_CHRONIC, rate=pct0(F.col("_ns_rate")))),
+        item(F.col("_is_cash"), F.lit(X.DRIVER_CASH)),
+        item(F.col("_is_new"), F.lit(X.DRIVER_NEW)),
+        item(F.col("_is_long"), X.render(X.DRIVER_LONG, lead=F.col("_lead").cast("string"))),
+        item(F.col("_is_edge"), F.lit(X.DRIVER_EDGE)),
+        item(F.col("_is_weekend"), X.render(X.DRIVER_WEEKEND, day=F.coalesce(F.col("Day_of_Week"), F.lit("")))),
+        item(F.col("_cancel_rate") > S.CANCEL_DRIVER_RATIO, X.render(X.DRIVER_CANCEL, rate=pct0(F.col("_cancel_rate")))),
     )
-    return F.filter(items, lambda x: x.isNotNull())
 
 
 def select_action(p: Column | None = None) -> Column:
@@ -168,9 +171,9 @@ def action_summary(df: DataFrame) -> Column:
     """Multi-line text card of an action record."""
     p4 = F.format_string("%.4f", F.col("no_show_probability"))
     head = X.render(X.SUMMARY_HEAD, id=F.col("booking_id").cast("string"), p4=p4, level=F.col("risk_level"))
-    timing = F.array_join(F.transform("timing_days_before", lambda t: F.concat(t.cast("string"), F.lit("d before"))), ", ")
+    timing = F.concat(F.array_join(F.col("timing_days_before").cast("array<string>"), "d before, "), F.lit("d before"))
     timing = F.when(F.size("timing_days_before") == 0, F.lit(X.SUMMARY_NO_TIMING)).otherwise(timing)
-    drivers = F.array_join(F.transform("risk_drivers", lambda d: F.concat(F.lit("    - "), d)), "\n")
+    drivers = F.concat(F.lit("    - "), F.array_join("risk_drivers", "\n    - "))
     drivers = F.when(F.size("risk_drivers") == 0, F.lit(X.SUMMARY_NO_DRIVERS)).otherwise(drivers)
     dep = F.when(F.col("deposit_pct") != 0, F.concat(F.lit("  Deposit       : "), F.col("deposit_pct").cast("string"),
                                                      F.lit("%\n"))).otherwise(F.lit(""))
