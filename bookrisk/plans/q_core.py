@@ -47,7 +47,7 @@ query("flagship_branch_actions", FLAGSHIP_SQL)(flagship)
 # ------------------------------------------------------------------ §2.1
 
 
-@query("scan_bookings_csv")
+@query("scan_bookings_csv", with_("bk") + f"SELECT {sel_text(BCOLS)} FROM bk")
 def scan_bookings_csv(spark, sf):
     """Bookings written as CSV with a header, read back with the fixed schema."""
     path = C.scratch_path(spark, "bookings-csv")
@@ -55,7 +55,6 @@ def scan_bookings_csv(spark, sf):
     return read_bookings_csv(spark, path)
 
 
-@query("scan_feature_matrix")
 def scan_feature_matrix(spark, sf):
     """Feature matrix and label in one table keyed by Booking_ID (no positional pairing)."""
     path = C.scratch_path(spark, "features")
@@ -70,10 +69,10 @@ SELECT Booking_ID, {TS('Booking_Time')} AS Booking_Time, {TS('Appointment_Time')
     lambda spark, sf: _ts_out(C.parsed_dirty(spark, sf).select("Booking_ID", "Booking_Time", "Appointment_Time")))
 
 
-@query("parse_ts_strict")
+@query("parse_ts_strict", with_("bk") + f"SELECT {sel_text(BCOLS)} FROM bk")
 def parse_ts_strict(spark, sf):
     """Strict parse of clean text times (a bad value fails the job)."""
-    return CL.parse_ts_strict(C.texts(C.bk(spark, sf)))
+    return C.texts(CL.parse_ts_strict(C.texts(C.bk(spark, sf))))
 
 
 query("missing_drop", with_("bk", extra=DIRTY) + f"SELECT {sel_text(BCOLS)} FROM pdirty WHERE "
@@ -130,6 +129,19 @@ _SUM_ROWS += [f"SELECT 'null:{c}', CAST(count(*) FILTER (WHERE {c} IS NULL) AS B
 query("data_summary", with_("bk", extra=DIRTY) + " UNION ALL ".join(_SUM_ROWS))(
     lambda spark, sf: CL.data_summary(C.parsed_dirty(spark, sf)))
 
+_DROP_SQL = (with_("bk", extra=DIRTY) + f"SELECT {sel_text(BCOLS)} FROM pdirty WHERE "
+             + " AND ".join(f"{c} IS NOT NULL" for c in BCOLS))
+
+
+@query("clean_pipeline", _DROP_SQL)
+def clean_pipeline(spark, sf):
+    """load_and_clean_data: the dirty bookings as a CSV file, read with the
+    fixed schema, times parsed (bad -> null), rows with a null dropped."""
+    path = C.scratch_path(spark, "dirty-csv")
+    C.dirty(spark, sf).write.mode("overwrite").option("header", True).csv(path)
+    return _ts_out(CL.clean(read_bookings_csv(spark, path), "drop"))
+
+
 query("clean_process", with_("bk", extra=DIRTY) + f"SELECT {sel_text(BCOLS)} FROM pdirty WHERE "
       + " AND ".join(f"{c} IS NOT NULL" for c in BCOLS))(
     lambda spark, sf: _ts_out(CL.clean(C.dirty(spark, sf), "drop")))
@@ -142,7 +154,6 @@ SELECT b.*, (SELECT CAST(count(*) AS BIGINT) FROM bad) AS n_mismatch FROM (SELEC
     lambda spark, sf: CL.lead_time_audit(C.bk(spark, sf)).withColumn("n_mismatch", F.col("n_mismatch").cast("bigint")))
 
 
-@query("sink_features")
 def sink_features(spark, sf):
     """Featured table written as Parquet and X / y as CSV; returns the Parquet read-back."""
     feats = FE.build_features(C.bk(spark, sf))
@@ -232,7 +243,6 @@ query("feat_prune", with_("ft") + "SELECT Booking_ID, No_Show, " + ", ".join(
     lambda spark, sf: FE.prune(FE.build_features(C.bk(spark, sf))))
 
 
-@query("feat_run")
 def feat_run(spark, sf):
     """Build, split, save X / y; returns X joined to y."""
     feats = FE.build_features(C.bk(spark, sf))
@@ -323,3 +333,10 @@ query("demo_flow", with_("ac") + """SELECT 'action' AS kind, action_type AS labe
 UNION ALL SELECT 'level', risk_level, CAST(count(*) AS BIGINT), NULL FROM ac GROUP BY risk_level
 UNION ALL SELECT 'overall', 'all', CAST(count(*) AS BIGINT), round(avg(no_show_probability), 6) FROM ac""")(
     lambda spark, sf: __import__("bookrisk.operators.report", fromlist=["x"]).exec_summary(C.ac(spark, sf)))
+
+
+# read-backs of written tables: same rows as the in-memory keys
+query("sink_features", with_("ft") + f"SELECT {sel_text(_BUILD_COLS)}, {_OHE_SQL} FROM ft")(sink_features)
+query("scan_feature_matrix", with_("ft") + f"SELECT Booking_ID, {', '.join(_X_COLS)}, {_OHE_SQL}, No_Show FROM ft")(
+    scan_feature_matrix)
+query("feat_run", with_("ft") + f"SELECT Booking_ID, {', '.join(_X_COLS)}, {_OHE_SQL}, No_Show FROM ft")(feat_run)
