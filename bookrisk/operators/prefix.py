@@ -37,6 +37,11 @@ def prior_sums(df: DataFrame, key: str, order_ts: str, tiebreak: str, values: di
            .where(F.col("_n") > rows_per_split)
            .select(key, "_lo", "_hi",
                    F.least(F.lit(max_splits), F.ceil(F.col("_n") * 4 / F.lit(rows_per_split))).cast("int").alias("_k")))
+    if hot.isEmpty():
+        # no key above the split size: one plain window, no offset pass
+        w = Window.partitionBy(key).orderBy("_t", tiebreak).rowsBetween(Window.unboundedPreceding, -1)
+        out = d.withColumns({n: F.coalesce(F.sum(f"_v{i}").over(w), F.lit(0)) for i, n in enumerate(names)})
+        return out.drop(*tmp, "_t")
     span = (F.col("_hi") - F.col("_lo") + 1).cast("double")
     bucket = F.when(F.col("_k").isNull(), F.lit(0)).otherwise(
         F.least(F.col("_k") - 1, F.floor((F.col("_t") - F.col("_lo")).cast("double") * F.col("_k") / span)).cast("int"))
