@@ -4,9 +4,18 @@ the DuckDB text where SQL can state the result."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bookrisk.llm import simhash
-from bookrisk.llm.common import table
+from bookrisk.llm import langid, simhash
+from bookrisk.llm.common import id_crc, table
+
+
+def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Learns from the rows whose crc32(doc_id) mod 4 is not 2 and predicts all."""
+    docs = table(spark, sf, "documents")
+    held_out = id_crc("doc_id") % 4 == 2
+    model = langid.train(docs.where(~held_out), key=F.col("doc_id"))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -14,5 +23,5 @@ def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"), shingle=3, radius=3)
 
 
-QUERIES = {f.__name__: f for f in (op8_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op8_simhash_near_dedup,)}
 ORACLE: dict[str, str] = {}
