@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookrisk.llm import langid, simhash
+from bookrisk.llm import langid, simhash, toxicity
 from bookrisk.llm.common import id_crc, table
 
 
@@ -18,10 +18,18 @@ def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Learns from the labels of rows whose crc32(doc_id) mod 3 is not 1 and scores all."""
+    docs = table(spark, sf, "documents")
+    held_out = id_crc("doc_id") % 3 == 1
+    model = toxicity.train(docs, table(spark, sf, "labels").where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Three-word shingles, links at 3 or fewer differing bits."""
     return simhash.near_duplicates(table(spark, sf, "documents"), shingle=3, radius=3)
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op8_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op5_toxicity, op8_simhash_near_dedup,)}
 ORACLE: dict[str, str] = {}
