@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,3 +41,9 @@ def uniform(*cols: str | Column, salt: str = "") -> Column:
     """A fixed draw in (0, 1) from the given columns: 52 bits of XXH64."""
     h = F.xxhash64(F.lit(salt), *cols)
     return (F.shiftrightunsigned(h, 12).cast("double") + 0.5) / float(1 << 52)
+
+
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with ``value`` computed once per row, also when ``of``
+    uses it inside a higher-order function."""
+    return F.element_at(F.transform(F.array(value), of), 1)

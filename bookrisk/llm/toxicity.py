@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookrisk.llm.common import WORD_SPACE, text_slices, uniform
+from bookrisk.llm.common import WORD_SPACE, let, text_slices, uniform
 
 # ---- fixed values: words with a prior, look-alike letters, digit substitutions
 PRIOR_WORDS = ("bastard", "disgusting", "dumbass", "idiot", "imbecile", "loser", "moron", "pathetic", "scum",
@@ -154,9 +154,10 @@ def entries_of(folded: str, lengths=(3, 4, 5, 6, 7, 8)) -> set[str]:
 def _copy_key(text: Column) -> Column:
     """The smallest hash of a text's five-word shingles: equal for copies and
     for most near copies, so that one text copied often trains once."""
-    words = F.split(F.trim(F.lower(text)), WORD_SPACE)
-    last = F.greatest(F.size(words) - 5, F.lit(0))
-    return F.coalesce(F.array_min(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, 5)))), F.lit(0))
+    def key(words: Column) -> Column:
+        last = F.greatest(F.size(words) - 5, F.lit(0))
+        return F.array_min(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, 5))))
+    return F.coalesce(let(F.split(F.trim(F.lower(text)), WORD_SPACE), key), F.lit(0))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
