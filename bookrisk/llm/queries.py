@@ -6,10 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookrisk.llm import langid, simhash, toxicity
+from bookrisk.llm import decontam, langid, simhash, toxicity
 from bookrisk.llm.common import id_crc, table
 
 
+def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark item against every whole document, one edit in 16 characters."""
+    return decontam.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     """Learns from the rows whose crc32(doc_id) mod 4 is not 2 and predicts all."""
     docs = table(spark, sf, "documents")
@@ -31,5 +36,5 @@ def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"), shingle=3, radius=3)
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op5_toxicity, op8_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op5_toxicity, op8_simhash_near_dedup,)}
 ORACLE: dict[str, str] = {}
