@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookrisk.llm import decontam, langid, simhash, toxicity
+from bookrisk.llm import decontam, langid, quality, simhash, toxicity
 from bookrisk.llm.common import id_crc, table
 
 
@@ -23,6 +23,12 @@ def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Co-trained on the labelled documents; scores every document."""
+    docs = table(spark, sf, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf, "labels")))
+
+
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Learns from the labels of rows whose crc32(doc_id) mod 3 is not 1 and scores all."""
     docs = table(spark, sf, "documents")
@@ -36,5 +42,5 @@ def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"), shingle=3, radius=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op5_toxicity, op8_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_quality, op5_toxicity, op8_simhash_near_dedup,)}
 ORACLE: dict[str, str] = {}
