@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookrisk.llm import decontam, langid, quality, simhash, toxicity
-from bookrisk.llm.common import id_crc, table
+import corpus_pipeline
+from bookrisk.llm import decontam, langid, mixing, quality, simhash, toxicity
+from bookrisk.llm.common import durable, id_crc, table
 
 
 def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,10 +38,50 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources weigh 3, 1, 2 by turns and share 150 % of all words, each at most twice its size."""
+    docs = mixing.sized(table(spark, sf, "documents"))
+    rows = durable(docs.select("doc_id", "source", mixing.SIZE, mixing.DRAW, mixing.SOURCE, mixing.ID, mixing.HEAVY))
+    return mixing.mix(rows).select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken", "source", "_mix.copies")
+
+
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, text, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS u
+  FROM documents
+), s AS (
+  SELECT *, source_size * 2.0::DOUBLE AS lim, (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
+      WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)::DOUBLE AS w
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)
+), levels AS (  -- every number of stopped sources; the right one is the first whose level stops no other
+  SELECT *, row_number() OVER (o) AS r,
+    ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - coalesce(sum(lim) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / ((SELECT sum(w) FROM s) - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM s WINDOW o AS (ORDER BY lim / w, source NULLS LAST)
+), t AS (
+  SELECT source, source_size, least(lim, coalesce((SELECT arg_min(level, r) FROM levels WHERE lim >= level * w), 1e300) * w) AS target
+  FROM levels
+), p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t
+), q AS (
+  SELECT d.*, source_size, target, floor(rate)::BIGINT AS whole, target - floor(rate)::BIGINT * source_size AS rest,
+    CASE WHEN rate - floor(rate) > 0 THEN u / (1 - u) / ((rate - floor(rate)) / (1 - (rate - floor(rate)))) END AS rnk
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+), c AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rnk, doc_id NULLS FIRST, size
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM q
+)
+SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies
+FROM (SELECT *, whole + CASE WHEN rnk IS NOT NULL AND ahead + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END AS copies FROM c)
+"""
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Three-word shingles, links at 3 or fewer differing bits."""
     return simhash.near_duplicates(table(spark, sf, "documents"), shingle=3, radius=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_quality, op5_toxicity, op8_simhash_near_dedup,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_quality, op5_toxicity, op6_mixing, op8_simhash_near_dedup)}
+QUERIES["pipeline"] = corpus_pipeline.run
+ORACLE: dict[str, str] = {"op6_mixing": OP6_SQL}
