@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bookrisk.llm import decontam, langid, mixing, quality, simhash, toxicity
+from bookrisk.llm import decontam, langid, licenses, mixing, quality, simhash, sketch, toxicity
 from bookrisk.llm.common import durable, id_crc, table
 
 
@@ -82,6 +82,17 @@ def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"), shingle=3, radius=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_quality, op5_toxicity, op6_mixing, op8_simhash_near_dedup)}
+def op9_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Every whole text against its edited text and the next document."""
+    return sketch.compare_edits(table(spark, sf, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """All template notices in every whole document."""
+    return licenses.scan(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_quality, op5_toxicity, op6_mixing, op8_simhash_near_dedup, op9_fingerprints,
+                                   op10_license_scan)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {"op6_mixing": OP6_SQL}
