@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bookrisk.llm import decontam, langid, licenses, mixing, quality, simhash, sketch, toxicity
+from bookrisk.llm import decontam, html, langid, licenses, mixing, quality, simhash, sketch, toxicity
 from bookrisk.llm.common import durable, id_crc, table
 
 
@@ -77,6 +77,11 @@ FROM (SELECT *, whole + CASE WHEN rnk IS NOT NULL AND ahead + size / 2.0::DOUBLE
 """
 
 
+def op7_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole pages; subtrees on 20 or more pages of a host are template."""
+    return html.main_text(table(spark, sf, "pages"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Three-word shingles, links at 3 or fewer differing bits."""
     return simhash.near_duplicates(table(spark, sf, "documents"), shingle=3, radius=3)
@@ -92,7 +97,7 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_quality, op5_toxicity, op6_mixing, op8_simhash_near_dedup, op9_fingerprints,
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_quality, op5_toxicity, op6_mixing, op7_main_text, op8_simhash_near_dedup, op9_fingerprints,
                                    op10_license_scan)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {"op6_mixing": OP6_SQL}
