@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -47,3 +48,8 @@ def let(value: Column, of: Callable[[Column], Column]) -> Column:
     """``of(value)`` with ``value`` computed once per row, also when ``of``
     uses it inside a higher-order function."""
     return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the session's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

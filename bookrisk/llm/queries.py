@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bookrisk.llm import decontam, html, langid, licenses, mixing, quality, simhash, sketch, toxicity
-from bookrisk.llm.common import durable, id_crc, table
+from bookrisk.llm import decontam, html, langid, licenses, mixing, quality, simhash, sketch, toxicity, warc
+from bookrisk.llm.common import durable, id_crc, shared_folder, table
 
 
 def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,6 +30,24 @@ def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf, "labels")))
 
 
+def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Writes an archive record for every page and reads the archives back."""
+    folder = shared_folder(spark, "warc")
+    warc.write(table(spark, sf, "pages"), folder)
+    return warc.read(spark, folder).where("kind = 'record'").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, b32.digest AS payload_digest,
+  CASE WHEN page_id = origin THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = origin THEN NULL ELSE origin END AS refers_to
+FROM (SELECT *, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS origin FROM pages) p,
+LATERAL (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::BIGINT
+  >> (35 - 5 * (i % 8))) & 31)::INT, 1), '' ORDER BY i) AS digest FROM (SELECT unnest(range(32)) AS i)) b32
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Learns from the labels of rows whose crc32(doc_id) mod 3 is not 1 and scores all."""
     docs = table(spark, sf, "documents")
@@ -97,7 +115,7 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_quality, op5_toxicity, op6_mixing, op7_main_text, op8_simhash_near_dedup, op9_fingerprints,
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_quality, op4_warc, op5_toxicity, op6_mixing, op7_main_text, op8_simhash_near_dedup, op9_fingerprints,
                                    op10_license_scan)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE: dict[str, str] = {"op6_mixing": OP6_SQL}
+ORACLE: dict[str, str] = {"op4_warc": OP4_SQL, "op6_mixing": OP6_SQL}
