@@ -42,6 +42,8 @@ VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _NEXT = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.[01]\r?\n")
 MEMBER = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Up to so many repeated payloads (some 16 MB of digests) are sent to every task; above it pages and digests are shuffled.
+BROADCAST_DIGESTS = 200_000
 RECORD = ("file string, offset long, length long, kind string, reason string, page_id long, uri string, record_type string, "
           "payload_bytes long, payload_digest string, refers_to long, payload binary")
 
@@ -59,15 +61,12 @@ def records(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_c
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.col(url_col).cast("string"), r"[\r\n]+", " ").alias("url"),
                      F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"))
     p = p.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": sha1_base32(F.col("payload").cast("binary"))})
-    # only payloads that occur more than once need their first record looked up
-    known = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"))
-    shared = durable(known.where(F.octet_length("payload") >= min_bytes).groupBy(sha1_base32(F.col("payload").cast("binary")).alias("digest"))
-                     .agg(F.max("page_id").alias("origin"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    rows = durable(p.where(F.col("bytes") >= min_bytes).select("page_id", "digest"))
-    origin = durable(rows.join(shared, "digest").where("origin is not null and (page_id is null or page_id != origin)")
-                     .select("page_id", "digest", "origin").distinct())
-    p = p.join(origin.withColumnsRenamed({"page_id": "o_id", "digest": "o_digest"}),
-               F.col("page_id").eqNullSafe(F.col("o_id")) & (F.col("digest") == F.col("o_digest")), "left")
+    # payloads that occur more than once, with the page that keeps them
+    shared = durable(p.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("origin"), F.count(F.lit(1)).alias("n"))
+                     .where("n > 1").select(F.col("digest").alias("s_digest"), "origin"))
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_DIGESTS else shared
+    p = p.join(shared, F.col("digest") == F.col("s_digest"), "left")
+    p = p.withColumn("origin", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("origin")), F.col("origin")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
     revisit = F.col("origin").isNotNull()
     block = F.when(revisit, http).otherwise(F.concat(http, "payload"))
