@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookrisk.operators.prefix import ROWS_PER_SPLIT, forward_back_fill
+from bookrisk.operators.prefix import RANGE_WIDTH, forward_back_fill
 from bookrisk.sources import schema as S
 
 STRATEGIES = ("drop", "forward_fill", "mean", "mode")
@@ -26,10 +26,10 @@ def missing_drop(df: DataFrame) -> DataFrame:
     return df.na.drop("any")
 
 
-def missing_ffill(df: DataFrame, order_col: str = "Booking_ID", rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+def missing_ffill(df: DataFrame, order_col: str = "Booking_ID", width: int = RANGE_WIDTH) -> DataFrame:
     """Forward fill then back fill in ``order_col`` order (skew-safe form)."""
     cols = [c for c in df.columns if c != order_col]
-    return forward_back_fill(df, order_col, cols, rows_per_split)
+    return forward_back_fill(df, order_col, cols, width)
 
 
 def mode_values(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -1,11 +1,15 @@
-"""Skew-safe prefix operators (running sums per key, global forward fill).
+"""Skew-safe prefix operators (running sums and lags per key, global fill).
 
 A plain ``Window.partitionBy(key)`` puts every row of a key into one task.
-Here a key with more than ``rows_per_split`` rows is split into ordered
-time buckets; each bucket is windowed on its own and the totals of the
-earlier buckets of the same key are added back from a small table whose
-size is bounded by ``4 * rows / rows_per_split`` (so broadcasting it is
-safe at any scale).
+Here every key, of any size, is cut into buckets of a fixed time grain: rows
+are dealt out by (key, bucket), windowed inside their bucket, and what the
+earlier buckets of the key hold comes back by a shuffled join with one row
+per (key, bucket). There is one plan for every size, no job runs while the
+plan is built, and nothing is broadcast by force.
+
+What bounds a task is the rows of one key in one grain; choose a shorter
+``grain_days`` where a key has more in 28 days than a task can sort. Rows of
+one key at one instant stay together, since their order is the tie-break.
 """
 
 from __future__ import annotations
@@ -13,8 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SPLIT = 5_000_000
-MAX_SPLITS = 1024
+#: Days in a bucket of a key.
+GRAIN_DAYS = 28
+#: Values of the order column in a range of ``forward_back_fill``.
+RANGE_WIDTH = 1 << 20
+_DAY_MICROS = 86_400_000_000
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -23,103 +30,63 @@ def ntz_micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), ts)
 
 
+def _in_buckets(df: DataFrame, key: str, order_ts: str, grain_days: int) -> DataFrame:
+    """Add ``_t`` (microseconds) and ``_b`` (bucket); dealt out by (key, bucket)."""
+    d = df.withColumn("_t", ntz_micros(F.col(order_ts)))
+    return d.withColumn("_b", F.floor(F.col("_t") / F.lit(grain_days * _DAY_MICROS))).repartition(key, "_b")
+
+
 def prior_sums(df: DataFrame, key: str, order_ts: str, tiebreak: str, values: dict[str, Column],
-               rows_per_split: int = ROWS_PER_SPLIT, max_splits: int = MAX_SPLITS) -> DataFrame:
+               grain_days: int = GRAIN_DAYS) -> DataFrame:
     """Add ``name = sum(expr)`` over the *earlier* rows of the same ``key``,
     ordered by (``order_ts``, ``tiebreak``); 0 for the first row of a key."""
-    names = list(values)
-    tmp = {f"_v{i}": v for i, v in enumerate(values.values())}
-    d = df.withColumns(tmp).withColumn("_t", ntz_micros(F.col(order_ts)))
-
-    # Hot keys only: at most rows / rows_per_split of them -> bounded broadcast.
-    hot = (d.groupBy(key)
-           .agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-           .where(F.col("_n") > rows_per_split)
-           .select(key, "_lo", "_hi",
-                   F.least(F.lit(max_splits), F.ceil(F.col("_n") * 4 / F.lit(rows_per_split))).cast("int").alias("_k")))
-    if hot.isEmpty():
-        # no key above the split size: one plain window, no offset pass
-        w = Window.partitionBy(key).orderBy("_t", tiebreak).rowsBetween(Window.unboundedPreceding, -1)
-        out = d.withColumns({n: F.coalesce(F.sum(f"_v{i}").over(w), F.lit(0)) for i, n in enumerate(names)})
-        return out.drop(*tmp, "_t")
-    span = (F.col("_hi") - F.col("_lo") + 1).cast("double")
-    bucket = F.when(F.col("_k").isNull(), F.lit(0)).otherwise(
-        F.least(F.col("_k") - 1, F.floor((F.col("_t") - F.col("_lo")).cast("double") * F.col("_k") / span)).cast("int"))
-    d = d.join(F.broadcast(hot), key, "left").withColumn("_b", bucket)
-
+    n = range(len(values))
+    d = _in_buckets(df.withColumns({f"_v{i}": v for i, v in enumerate(values.values())}), key, order_ts, grain_days)
     w = Window.partitionBy(key, "_b").orderBy("_t", tiebreak).rowsBetween(Window.unboundedPreceding, -1)
-    local = d.withColumns({f"_l{i}": F.coalesce(F.sum(f"_v{i}").over(w), F.lit(0)) for i in range(len(names))})
-
-    # Totals of the earlier buckets of each hot key (small: <= sum of _k rows).
-    tot = (d.where(F.col("_k").isNotNull()).groupBy(key, "_b")
-           .agg(*[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))]))
+    local = d.withColumns({f"_l{i}": F.coalesce(F.sum(f"_v{i}").over(w), F.lit(0)) for i in n})
+    totals = d.groupBy(key, "_b").agg(*[F.sum(f"_v{i}").alias(f"_s{i}") for i in n])
     wk = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(key, "_b", *[F.coalesce(F.sum(f"_s{i}").over(wk), F.lit(0)).alias(f"_o{i}")
-                                  for i in range(len(names))])
-    out = local.join(F.broadcast(off), [key, "_b"], "left")
-    out = out.withColumns({n: F.col(f"_l{i}") + F.coalesce(F.col(f"_o{i}"), F.lit(0)) for i, n in enumerate(names)})
-    drop = list(tmp) + [f"_l{i}" for i in range(len(names))] + [f"_o{i}" for i in range(len(names))]
-    return out.drop(*drop, "_t", "_b", "_lo", "_hi", "_k")
-
-
-def forward_back_fill(df: DataFrame, order_col: str, cols: list[str],
-                      rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
-    """pandas ``ffill().bfill()`` in ``order_col`` order, without a global
-    single-task window: rows are cut into equal-width ``order_col`` ranges,
-    each filled locally, then seeded with the last value of the earlier
-    ranges (a table of one row per range)."""
-    stats = df.agg(F.count(F.lit(1)).alias("n"), F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    if stats is None or stats["n"] == 0:
-        return df
-    k = max(1, min(1 << 16, -(-int(stats["n"]) // rows_per_split)))
-    lo, hi = int(stats["lo"]), int(stats["hi"])
-    span = float(hi - lo + 1)
-    d = df.withColumn("_b", F.least(F.lit(k - 1), F.floor((F.col(order_col) - F.lit(lo)).cast("double") * k / span)).cast("int"))
-    wl = Window.partitionBy("_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumns({f"_f_{c}": F.last(c, ignorenulls=True).over(wl) for c in cols})
-    per = d.groupBy("_b").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order_col))).alias(f"_z_{c}")
-                                for c in cols])
-    # per has at most k rows (k = rows / rows_per_split): unpartitioned window is safe here.
-    wp = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seeds = per.select("_b", *[F.last(f"_z_{c}", ignorenulls=True).over(wp).alias(f"_c_{c}") for c in cols],
-                       *[F.first(f"_z_{c}", ignorenulls=True).over(wall).alias(f"_x_{c}") for c in cols])
-    d = d.join(F.broadcast(seeds), "_b", "left")
-    d = d.withColumns({c: F.coalesce(F.col(f"_f_{c}"), F.col(f"_c_{c}"), F.col(f"_x_{c}")) for c in cols})
-    return d.drop("_b", *[f"_{p}_{c}" for c in cols for p in "fcx"])
-
-
-def _split_hot(d: DataFrame, key: str, rows_per_split: int, max_splits: int) -> DataFrame:
-    """Add ``_b``: 0 for ordinary keys; for keys above ``rows_per_split``
-    rows, an ordered time bucket (bounded broadcast of the hot keys)."""
-    hot = (d.groupBy(key)
-           .agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-           .where(F.col("_n") > rows_per_split)
-           .select(key, "_lo", "_hi",
-                   F.least(F.lit(max_splits), F.ceil(F.col("_n") * 4 / F.lit(rows_per_split))).cast("int").alias("_k")))
-    span = (F.col("_hi") - F.col("_lo") + 1).cast("double")
-    bucket = F.when(F.col("_k").isNull(), F.lit(0)).otherwise(
-        F.least(F.col("_k") - 1, F.floor((F.col("_t") - F.col("_lo")).cast("double") * F.col("_k") / span)).cast("int"))
-    return d.join(F.broadcast(hot), key, "left").withColumn("_b", bucket).drop("_lo", "_hi")
+    before = totals.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"),
+                           *[F.coalesce(F.sum(f"_s{i}").over(wk), F.lit(0)).alias(f"_o{i}") for i in n])
+    out = local.join(before, F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_kb")), "left")
+    out = out.withColumns({name: F.col(f"_l{i}") + F.col(f"_o{i}") for i, name in enumerate(values)})
+    return out.drop("_t", "_b", "_k", "_kb", *[f"_{p}{i}" for i in n for p in "vlo"])
+
+
+def forward_back_fill(df: DataFrame, order_col: str, cols: list[str], width: int = RANGE_WIDTH) -> DataFrame:
+    """pandas ``ffill().bfill()`` in ``order_col`` order (an integer column),
+    without a global single-task window: rows are cut into ranges of ``width``
+    values and filled inside; a range starts from the last value of the ranges
+    before it. Rows before the first value of all take that one. The running
+    values go over one row per range that is in use."""
+    d = df.withColumn("_b", F.floor(F.col(order_col) / F.lit(width))).repartition("_b")
+    inside = Window.partitionBy("_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    filled = d.withColumns({f"_f_{c}": F.last(c, ignorenulls=True).over(inside) for c in cols})
+
+    def at(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.col(order_col))
+    per = d.groupBy("_b").agg(*[F.max_by(F.col(c), at(c)).alias(f"_z_{c}") for c in cols],
+                              *[F.min_by(F.col(c), at(c)).alias(f"_a_{c}") for c in cols])
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seeds = per.select(F.col("_b").alias("_r"), *[F.last(f"_z_{c}", ignorenulls=True).over(earlier).alias(f"_c_{c}") for c in cols],
+                       *[F.first(f"_a_{c}", ignorenulls=True).over(every).alias(f"_x_{c}") for c in cols])
+    out = filled.join(seeds, F.col("_b").eqNullSafe(F.col("_r")), "left")
+    out = out.withColumns({c: F.coalesce(F.col(f"_f_{c}"), F.col(f"_c_{c}"), F.col(f"_x_{c}")) for c in cols})
+    return out.drop("_b", "_r", *[f"_{p}_{c}" for c in cols for p in "fcx"])
 
 
 def previous_values(df: DataFrame, key: str, order_ts: str, tiebreak: str, cols: list[str],
-                    prefix: str = "prev_", rows_per_split: int = ROWS_PER_SPLIT,
-                    max_splits: int = MAX_SPLITS) -> DataFrame:
+                    prefix: str = "prev_", grain_days: int = GRAIN_DAYS) -> DataFrame:
     """``lag(c, 1)`` per ``key`` in (``order_ts``, ``tiebreak``) order for each
-    column, without putting a hot key into one task: hot keys are cut into
-    time buckets, lagged inside each bucket, and the first row of a bucket
-    takes the last row of the previous non-empty bucket of its key."""
-    d = _split_hot(df.withColumn("_t", ntz_micros(F.col(order_ts))), key, rows_per_split, max_splits)
+    column: lagged inside each bucket; the first row of a bucket takes the
+    last row of the key's previous bucket in use."""
+    d = _in_buckets(df, key, order_ts, grain_days)
     w = Window.partitionBy(key, "_b").orderBy("_t", tiebreak)
-    d = d.withColumns({"_first": F.row_number().over(w) == 1,
-                       **{f"_lag_{c}": F.lag(c, 1).over(w) for c in cols}})
-    # last row of each bucket of each hot key: at most sum(_k) rows
-    last = (d.where(F.col("_k").isNotNull()).groupBy(key, "_b")
-            .agg(F.max_by(F.struct(*[F.col(c).alias(c) for c in cols]), F.struct("_t", tiebreak)).alias("_last")))
-    wk = Window.partitionBy(key).orderBy("_b")
-    carry = last.select(key, "_b", F.lag("_last", 1).over(wk).alias("_carry"))
-    d = d.join(F.broadcast(carry), [key, "_b"], "left")
-    d = d.withColumns({f"{prefix}{c}": F.when(F.col("_first") & F.col("_k").isNotNull(), F.col("_carry")[c])
-                       .otherwise(F.col(f"_lag_{c}")) for c in cols})
-    return d.drop("_t", "_b", "_k", "_first", "_carry", *[f"_lag_{c}" for c in cols])
+    lagged = d.withColumns({"_first": F.row_number().over(w) == 1, **{f"_lag_{c}": F.lag(c, 1).over(w) for c in cols}})
+    last = d.groupBy(key, "_b").agg(F.max_by(F.struct(*cols), F.struct("_t", tiebreak)).alias("_last"))
+    carry = last.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"),
+                        F.lag("_last", 1).over(Window.partitionBy(key).orderBy("_b")).alias("_carry"))
+    out = lagged.join(carry, F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_kb")), "left")
+    out = out.withColumns({f"{prefix}{c}": F.when(F.col("_first"), F.col("_carry")[c]).otherwise(F.col(f"_lag_{c}")) for c in cols})
+    return out.drop("_t", "_b", "_k", "_kb", "_first", "_carry", *[f"_lag_{c}" for c in cols])

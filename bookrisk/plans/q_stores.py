@@ -144,21 +144,19 @@ SELECT customer_id, booking_id, {TS('scored_at')} AS scored_at, model_version, n
 FROM cs WINDOW w AS (PARTITION BY customer_id ORDER BY scored_at, booking_id)"""
 
 
-def _history(spark, sf, rows_per_split=None):
+def _history(spark, sf, **how):
     from bookrisk.operators import prefix as P
     s = risk_scores(spark, sf).join(C.bk(spark, sf).select(F.col("Booking_ID").alias("booking_id"),
                                                           F.col("Customer_ID").alias("customer_id")), "booking_id")
-    kw = {} if rows_per_split is None else {"rows_per_split": rows_per_split}
-    out = P.previous_values(s, "customer_id", "scored_at", "booking_id", ["no_show_probability"], **kw)
+    out = P.previous_values(s, "customer_id", "scored_at", "booking_id", ["no_show_probability"], **how)
     out = out.withColumn("change", F.round(F.col("no_show_probability") - F.col("prev_no_show_probability"), 6))
     return C.texts(out.select("customer_id", "booking_id", "scored_at", "model_version", "no_show_probability",
                               "prev_no_show_probability", "change"))
 
 
 query("win_customer_score_history", _HIST_SQL)(lambda spark, sf: _history(spark, sf))
-# Same result through the hot-key path: every customer above 3 scores is
-# split into time buckets (checks the bucketed lag against the plain window).
-query("win_customer_score_history_split", _HIST_SQL)(lambda spark, sf: _history(spark, sf, rows_per_split=3))
+# The same result whatever the grain of the buckets.
+query("win_customer_score_history_split", _HIST_SQL)(lambda spark, sf: _history(spark, sf, grain_days=1))
 
 _WEEKLY = f"""
 , wk AS (
@@ -191,13 +189,13 @@ FROM d WINDOW w AS (ORDER BY wno RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)""")(
 
 
 def _history_counts(spark, sf):
-    """Past_* counters recomputed from raw outcomes through the hot-key path
-    (every customer above 3 bookings split), checked against the plain window."""
+    """Past_* counters recomputed from raw outcomes in buckets per customer,
+    checked against the plain window."""
     b = C.bk(spark, sf).drop("Past_Visit_Count", "Past_Cancellation_Count", "Past_No_Show_Count")
     canc = (F.col("Outcome") == "Show") & (uniform(F.col("Booking_ID"), "canc") < 0.10)
     out = prior_sums(b, "Customer_ID", "Appointment_Time", "Booking_ID", {
         "Past_Visit_Count": F.lit(1), "Past_Cancellation_Count": canc.cast("int"),
-        "Past_No_Show_Count": (F.col("Outcome") == "No-Show").cast("int")}, rows_per_split=3)
+        "Past_No_Show_Count": (F.col("Outcome") == "No-Show").cast("int")})
     return out.select("Booking_ID", *[F.col(c).cast("int").alias(c) for c in
                                       ("Past_Visit_Count", "Past_Cancellation_Count", "Past_No_Show_Count")])
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookrisk.functions.hashing import uniform
-from bookrisk.operators.prefix import ROWS_PER_SPLIT, prior_sums
+from bookrisk.operators.prefix import GRAIN_DAYS, prior_sums
 from bookrisk.sources import schema as S
 
 # Fixed values of the fixture recipe
@@ -29,7 +29,7 @@ def _pick(names: list[str], idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), idx + 1)
 
 
-def bookings(spark: SparkSession, sf_dir: str, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+def bookings(spark: SparkSession, sf_dir: str, grain_days: int = GRAIN_DAYS) -> DataFrame:
     """The 14-column booking table (schema ``S.BOOKING``) for one scale."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -62,7 +62,7 @@ def bookings(spark: SparkSession, sf_dir: str, rows_per_split: int = ROWS_PER_SP
         "Past_Visit_Count": F.lit(1),
         "Past_Cancellation_Count": ((F.col("Outcome") == "Show") & (F.col("_u_canc") < CANCEL_SHARE)).cast("int"),
         "Past_No_Show_Count": (F.col("Outcome") == "No-Show").cast("int"),
-    }, rows_per_split=rows_per_split)
+    }, grain_days=grain_days)
     return b.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.BOOKING.fields])
 
 

@@ -70,14 +70,14 @@ def test_skew_paths_equal_plain_windows(spark):
     b = C.bk(spark, SF).select("Booking_ID", "Customer_ID", "Appointment_Time", "Outcome")
     hot = b.withColumn("Customer_ID", F.lit(1))  # one key holds every row
     val = {"n": F.lit(1), "ns": (F.col("Outcome") == "No-Show").cast("int")}
-    got = prior_sums(hot, "Customer_ID", "Appointment_Time", "Booking_ID", val, rows_per_split=50)
+    got = prior_sums(hot, "Customer_ID", "Appointment_Time", "Booking_ID", val, grain_days=7)
     w = Window.partitionBy("Customer_ID").orderBy("Appointment_Time", "Booking_ID").rowsBetween(
         Window.unboundedPreceding, -1)
     ref = hot.select("Booking_ID", F.coalesce(F.sum(F.lit(1)).over(w), F.lit(0)).alias("n_ref"),
                      F.coalesce(F.sum((F.col("Outcome") == "No-Show").cast("int")).over(w), F.lit(0)).alias("ns_ref"))
     j = got.join(ref, "Booking_ID")
     assert j.where((F.col("n") != F.col("n_ref")) | (F.col("ns") != F.col("ns_ref"))).count() == 0
-    lag = previous_values(hot, "Customer_ID", "Appointment_Time", "Booking_ID", ["Booking_ID"], rows_per_split=50)
+    lag = previous_values(hot, "Customer_ID", "Appointment_Time", "Booking_ID", ["Booking_ID"], grain_days=7)
     wl = Window.partitionBy("Customer_ID").orderBy("Appointment_Time", "Booking_ID")
     ref2 = hot.select("Booking_ID", F.lag("Booking_ID").over(wl).alias("prev_ref"))
     j2 = lag.join(ref2, "Booking_ID")
