@@ -53,7 +53,9 @@ def psi(df: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
     """Population stability index per feature between the 'reference' and
     'current' rows of ``df`` (column ``period``). Equal-width bins over the
     reference min..max (a constant reference widens to +-0.5), last bin
-    closed, current values outside the range ignored, shares clipped at 1e-6."""
+    closed, current values outside the range ignored, shares clipped at 1e-6. A side
+    without values in range has no shares: the index is null, the status
+    'not enough data'."""
     long = df.select("period", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"),
                                                             F.col(f).cast("double").alias("x")) for f in features]))
                      .alias("kv")).select("period", "kv.*").where(F.col("x").isNotNull())
@@ -74,14 +76,14 @@ def psi(df: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
         F.sum(F.when(F.col("period") == "current", F.col("n"))).alias("a"))
     g = grid.join(wide, ["feature", "bin"], "left").fillna(0, ["e", "a"])
     w = Window.partitionBy("feature")  # bins rows per feature
-    g = g.withColumns({"ep": F.greatest(F.lit(PSI_CLIP), F.col("e") / F.sum("e").over(w)),
-                       "ap": F.greatest(F.lit(PSI_CLIP), F.col("a") / F.sum("a").over(w))})
+    g = g.withColumns({"ep": F.col("e") / F.nullif(F.sum("e").over(w), F.lit(0)), "ap": F.col("a") / F.nullif(F.sum("a").over(w), F.lit(0))})
+    g = g.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(PSI_CLIP), F.col(c))) for c in ("ep", "ap")})
     out = g.groupBy("feature").agg(F.sum((F.col("ap") - F.col("ep")) * F.log(F.col("ap") / F.col("ep"))).alias("psi"))
     return out.withColumn("status", psi_status(F.col("psi")))
 
 
 def psi_status(p: Column) -> Column:
-    return (F.when(p < PSI_MODERATE, "no significant drift").when(p <= PSI_SIGNIFICANT, "moderate drift")
+    return (F.when(p.isNull(), "not enough data").when(p < PSI_MODERATE, "no significant drift").when(p <= PSI_SIGNIFICANT, "moderate drift")
             .otherwise("significant drift"))
 
 

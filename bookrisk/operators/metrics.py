@@ -66,12 +66,14 @@ def apply_standard_scaler(df: DataFrame, params: DataFrame, cols: list[str]) ->
 
 
 def class_weights(train: DataFrame, label: str = "No_Show") -> DataFrame:
-    """Balanced weights n / (2 n_class) and the positive weight n0/n1 (round 2)."""
+    """Balanced weights n / (2 n_class) and the positive weight n0/n1 (round 2);
+    the weight of a class without rows, and what divides by it, is null."""
     g = train.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 0).alias("n0"),
                   F.count_if(F.col(label) == 1).alias("n1"))
     return g.select(F.col("n").cast("bigint"), F.col("n0").cast("bigint"), F.col("n1").cast("bigint"),
-                    (F.col("n") / (2.0 * F.col("n0"))).alias("w0"), (F.col("n") / (2.0 * F.col("n1"))).alias("w1"),
-                    F.bround(F.col("n0") / F.col("n1"), 2).alias("pos_weight"))
+                    (F.col("n") / (2.0 * F.nullif("n0", F.lit(0)))).alias("w0"),
+                    (F.col("n") / (2.0 * F.nullif("n1", F.lit(0)))).alias("w1"),
+                    F.bround(F.col("n0") / F.nullif("n1", F.lit(0)), 2).alias("pos_weight"))
 
 
 def with_class_weight(df: DataFrame, weights: DataFrame, label: str = "No_Show", out: str = "weight") -> DataFrame:

@@ -53,9 +53,10 @@ def write_partitioned(df: DataFrame, path: str, ts_col: str, mode: str = "append
     """Append as Parquet partitioned by the month of ``ts_col``, each file
     sorted by the timestamp so row groups carry tight min/max statistics:
     a day's queue prunes to one partition and, inside it, to the row groups
-    of that day. (Month, not day: day partitions multiply small files.)"""
+    of that day. Rows are dealt out by ranges of time, so a large month is
+    written by many tasks. (Month, not day: day partitions multiply small files.)"""
     (df.withColumn("month", F.date_format(ts_col, "yyyy-MM"))
-     .repartition("month").sortWithinPartitions("month", ts_col)
+     .repartitionByRange("month", ts_col).sortWithinPartitions("month", ts_col)
      .write.mode(mode).partitionBy("month").parquet(path))
 
 

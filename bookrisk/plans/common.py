@@ -21,15 +21,15 @@ from bookrisk.sources.bookings import bookings, dirty_bookings
 _STORED: dict[tuple, str] = {}
 
 
-def _stamp(sf: str) -> tuple:
-    """Identity of the driver inputs (size and mtime when the path is local)."""
+def _stamp(spark: SparkSession, sf: str) -> tuple:
+    """Identity of the driver inputs: files, bytes and last change, asked of
+    the file system that Spark reads them from."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     out = []
     for t in ("orders", "customer"):
-        try:
-            st = os.stat(f"{sf}/{t}.parquet")
-            out.append((st.st_size, int(st.st_mtime)))
-        except OSError:
-            out.append(None)
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf}/{t}.parquet")
+        files = path.getFileSystem(conf).listStatus(path)
+        out.append((len(files), sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0)))
     return tuple(out)
 
 
@@ -38,7 +38,7 @@ def bk(spark: SparkSession, sf: str) -> DataFrame:
     tables once per session and stored as Parquet in the session's reliable
     checkpoint folder; queries read it like any stored booking source (the
     derivation, with its history window, is not repeated per query)."""
-    key = (spark.sparkContext.applicationId, sf, _stamp(sf))
+    key = (spark.sparkContext.applicationId, sf, _stamp(spark, sf))
     path = _STORED.get(key)
     if path is None:
         path = scratch_path(spark, "bookings")

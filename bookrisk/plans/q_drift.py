@@ -72,7 +72,8 @@ kcc AS (SELECT sum(r) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS cr, sum(c) O
   sum(r) OVER () AS nr, sum(c) OVER () AS nc FROM kc),
 kd AS (SELECT max(abs(cr / nr - cc / nc)) AS d, CAST(max(nr) AS DOUBLE) AS n1, CAST(max(nc) AS DOUBLE) AS n2 FROM kcc),
 kl AS (SELECT d, (sqrt(n1 * n2 / (n1 + n2)) + 0.12 + 0.11 / sqrt(n1 * n2 / (n1 + n2))) * d AS lam FROM kd),
-ks AS (SELECT 'Lead_Time_Days' AS feature, d, CASE WHEN lam <= 0 THEN 1.0 ELSE greatest(0.0, least(1.0,
+ks AS (SELECT 'Lead_Time_Days' AS feature, d, CASE WHEN lam <= 0 THEN 1.0 WHEN lam < 1 THEN greatest(0.0, least(1.0, 1 - sqrt(2 * pi()) / lam
+  * list_sum(list_transform(range(1, 21), lambda k: exp(-pow(2 * k - 1, 2) * pi() * pi() / (8 * lam * lam)))))) ELSE greatest(0.0, least(1.0,
   2 * list_sum(list_transform(range(1, 101), lambda k: pow(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam))))) END AS p_value FROM kl)"""
 
 CHI = PD + f""",
@@ -83,7 +84,8 @@ ce AS (SELECT *, o_r + o_c AS rw, sum(o_r) OVER (PARTITION BY feature) AS tr, su
   count(*) OVER (PARTITION BY feature) AS k FROM cc),
 cs AS (SELECT feature, sum(pow(o_r - rw * tr / (tr + tc), 2) / (rw * tr / (tr + tc))
   + pow(o_c - rw * tc / (tr + tc), 2) / (rw * tc / (tr + tc))) AS statistic, CAST(max(k) - 1 AS INTEGER) AS dof FROM ce GROUP BY feature),
-chi AS (SELECT feature, statistic, dof, CASE WHEN statistic <= 0 THEN 1.0 WHEN statistic > 1000 THEN 0.0 ELSE
+chi AS (SELECT feature, statistic, dof, CASE WHEN statistic <= 0 THEN 1.0 WHEN statistic > 200 + 2 * dof THEN 0.0 ELSE  -- below 1e-20 there
+ 
   greatest(0.0, least(1.0, 1.0 - exp((dof / 2.0) * ln(statistic / 2.0) - statistic / 2.0) *
   list_sum(list_transform(range(0, 400), lambda n: exp(n * ln(statistic / 2.0) - lgamma(dof / 2.0 + n + 1)))))) END AS p_value
   FROM cs)"""

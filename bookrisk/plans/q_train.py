@@ -12,7 +12,6 @@ from bookrisk.operators import train as TR
 from bookrisk.operators.rules import action_record, evaluate
 from bookrisk.plans import common as C
 from bookrisk.plans.catalog import query
-from bookrisk.sources import schema as S
 
 
 def _split(spark, sf):
@@ -61,24 +60,22 @@ def score_convenience(spark, sf):
     """Score and act in one call: the action records of the MLlib scores."""
     model = _lr_model(spark, sf)
     b = C.bk(spark, sf)
-    scored = TR.score(model, TR.feature_table(b, with_target=False)).drop("risk_level")
-    acted = evaluate(b.join(scored, "Booking_ID").withColumn(
-        "risk_level", F.when(F.col("no_show_probability") >= S.RISK_HIGH, "High")
-        .when(F.col("no_show_probability") >= S.RISK_MEDIUM, "Medium").otherwise("Low")))
-    return action_record(acted)
+    scored = TR.score(model, TR.feature_table(b, with_target=False))
+    # the level is the one of the unrounded probability
+    return action_record(evaluate(b.join(scored, "Booking_ID")))
 
 
 @query("sink_models")
 def sink_models(spark, sf):
-    """Save the fitted pipeline and a one-row registry (version, threshold,
-    test metrics); returns the registry read back."""
-    d = _split(spark, sf)
+    """Save the fitted pipeline and a one-row registry (version, threshold
+    tuned on validation, test metrics); returns the registry read back."""
+    d = M.split_three(TR.feature_table(C.bk(spark, sf)))
     model = TR.fit(d.where(F.col("split") == "train").drop("split"), "lr")
     base = C.scratch_path(spark, "models")
     TR.save(model, base + "/lr")
     test = TR.score(model, d.where(F.col("split") == "test"))
-    long = test.select(F.lit("lr").alias("model"), F.col("no_show_probability").alias("score"),
-                       F.col("No_Show").alias("label"))
+    long = TR.score(model, d.where(F.col("split") == "val")).select(
+        F.lit("lr").alias("model"), F.col("no_show_probability").alias("score"), F.col("No_Show").alias("label"))
     thr = M.threshold_max_recall(M.pr_curve(long)).select("model", F.col("threshold").alias("best_threshold"))
     reg = (TR.evaluate_model("lr", test).join(thr, "model")
            .withColumns({"model_version": F.lit("v1"), "path": F.lit(base + "/lr")}))
