@@ -89,14 +89,15 @@ def mix(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     odds: Column = F.when(part > 0, F.col(DRAW) / (1 - F.col(DRAW)) / (part / (1 - part)))
     d = d.withColumn("rank", odds)
     even = F.col("rank") * (F.col("part") / (1 - F.col("part")))  # the odds of the draw again where weights are alike
-    d = d.withColumn("range", F.when(F.col("rank").isNotNull(), F.floor(even / (1 + even) * RANGES).cast("int")))
-    ranges = d.where(F.col("range").isNotNull()).groupBy(F.col(SOURCE).alias("r_source"), F.col("range").alias("r_range")).agg(F.sum(SIZE).alias("words"))
+    # documents of a source without a drawn part have no rank; they spread over the ranges all the same
+    d = d.withColumn("range", F.floor(F.when(F.col("rank").isNull(), F.col(DRAW)).otherwise(even / (1 + even)) * RANGES).cast("int"))
+    ranges = d.groupBy(F.col(SOURCE).alias("r_source"), F.col("range").alias("r_range")).agg(F.sum(SIZE).alias("words"))
     before = Window.partitionBy("r_source").orderBy("r_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
     d = d.join(ranges, F.col(SOURCE).eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range")), "left")
     order = Window.partitionBy(SOURCE, "range").orderBy("rank", F.col(ID).asc_nulls_first(), SIZE).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("ahead", F.when(F.col("before").isNotNull(), F.col("before") + F.coalesce(F.sum(SIZE).over(order), F.lit(0))))
-    drawn = F.coalesce(F.col("ahead") + F.col(SIZE) / 2 <= F.col("rest"), F.lit(False)).cast("long")
+    d = d.withColumn("ahead", F.col("before") + F.coalesce(F.sum(SIZE).over(order), F.lit(0)))
+    drawn = (F.col("rank").isNotNull() & (F.col("ahead") + F.col(SIZE) / 2 <= F.col("rest"))).cast("long")
     copies = F.coalesce(F.col("whole"), F.lit(0)) + drawn
     d = d.withColumn("_mix", F.struct(F.col(SIZE).alias("size"), "source_size", "target", copies.alias("copies"),
                                       (copies * F.col(SIZE)).alias("taken")))
