@@ -6,8 +6,7 @@ characters may differ by up to k = n // ``chars_per_edit`` insertions,
 deletions or replacements. It is cut into k + 1 pieces: k edits leave at
 least one piece untouched, so every occurrence holds an exact piece at, give
 or take k, its place. One Aho-Corasick automaton over all pieces finds the
-hits; the window around a hit is verified with Myers' bit-parallel distance,
-and the occurrence must begin and end at word borders, give or take k.
+hits; the window around a hit is verified with Myers' bit-parallel distance.
 
 The items are the query set: they are read in blocks of at most
 ``block_bytes`` of text (pieces and automaton grow with the block only), and
@@ -113,10 +112,7 @@ class Matcher:
                 if best and best[0] == 0:
                     break
             if best:
-                e, s, length = best
-                border = lambda p: p <= 0 or p >= len(text) or text[p - 1] == " " or text[p] == " "
-                if e or (border(s) and border(s + length)):
-                    out.append((item, e, s, length))
+                out.append((item, *best))
         return out
 
 
