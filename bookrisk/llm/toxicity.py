@@ -148,7 +148,7 @@ class Model:
 def entries_of(folded: str, lengths=(3, 4, 5, 6, 7, 8)) -> set[str]:
     """Candidate entries of a text: its words and their beginnings."""
     words = {w for w in folded.split() if len(w) >= 3}
-    return {f" {w} " for w in words if len(w) <= 24} | {" " + w[:n] for w in words for n in lengths if len(w) > n}
+    return {f" {w} " for w in words if len(w) <= 24} | {" " + w[:n] for w in words for n in lengths if len(w) >= n}
 
 
 def _copy_key(text: Column) -> Column:
