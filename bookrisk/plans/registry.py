@@ -2,14 +2,7 @@
 
 from __future__ import annotations
 
-from bookrisk.plans import q_core  # noqa: F401
+from bookrisk.plans import q_core, q_drift, q_metrics, q_reports, q_stores, q_stream, q_train  # noqa: F401
 from bookrisk.plans.catalog import REGISTRY
 
-for _m in ("q_reports", "q_metrics", "q_stores", "q_drift", "q_train", "q_stream"):
-    try:
-        __import__(f"bookrisk.plans.{_m}")
-    except ModuleNotFoundError as e:  # module not written yet
-        if e.name != f"bookrisk.plans.{_m}":
-            raise
-
 __all__ = ["REGISTRY"]

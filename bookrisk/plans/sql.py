@@ -1,6 +1,8 @@
 """DuckDB twins of the core operators, used as the oracle (``oracle_sql``).
 
-Written independently of the Spark code: plain SQL over the driver tables.
+Plain SQL over the driver tables. Texts, scorecards, tiers and prices are the
+same fixed values as on the Spark side, so tests state expected texts and
+tail values by hand as well.
 Named CTEs: ``bk`` bookings, ``ft`` base features, ``sc`` frozen score,
 ``ac`` actions (diagnosis + tree + catalog + texts).
 """
