@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from bookrisk.functions.stats import chi2_sf, ks_p_value
 from bookrisk.operators import metrics as M
+from bookrisk.operators.quantiles import quantiles
 from bookrisk.sources import schema as S
 
 # ---------------------------------------------------------------------------
@@ -288,25 +289,13 @@ def kpi_deposit_churn(actions: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ operations
-def ops_latency(log: DataFrame, exact: bool = True) -> DataFrame:
-    """P50 / P99 of scoring latency (ms). ``exact`` uses Spark's percentile,
-    whose buffer is one entry per distinct value (latencies at 0.01 ms
-    resolution stay bounded); ``exact=False`` uses percentile_approx."""
-    q = (F.percentile("latency_ms", [0.5, 0.99]) if exact
-         else F.percentile_approx("latency_ms", [0.5, 0.99], 1000000).cast("array<double>"))
-    return log.agg(F.count(F.lit(1)).cast("bigint").alias("n"), q.alias("q")) \
-        .select("n", F.col("q")[0].alias("p50_ms"), F.col("q")[1].alias("p99_ms"))
+def ops_latency(log: DataFrame) -> DataFrame:
+    """Requests and exact P50 / P99 of scoring latency (ms); null for an empty log."""
+    q = quantiles(log.withColumn("_all", F.lit(0)), ["_all"], "latency_ms", {"p50_ms": 0.5, "p99_ms": 0.99})
+    n = log.agg(F.count(F.lit(1)).cast("bigint").alias("n")).withColumn("_all", F.lit(0))
+    return n.join(q, "_all", "left").select("n", "p50_ms", "p99_ms")
 
 
 def ops_failure_null_rate(log: DataFrame) -> DataFrame:
     return log.agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.avg("failed").alias("failure_rate"),
                    F.avg("null_feature").alias("null_feature_rate"))
-
-
-def ops_by_minute(log: DataFrame) -> DataFrame:
-    """Failure / null rates and latency percentiles per one-minute window."""
-    return log.groupBy(F.window("ts", "1 minute").alias("w")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"), F.avg("failed").alias("failure_rate"),
-        F.avg("null_feature").alias("null_feature_rate"),
-        F.percentile("latency_ms", 0.5).alias("p50_ms")).select(
-        F.col("w.start").alias("window_start"), "n", "failure_rate", "null_feature_rate", "p50_ms")

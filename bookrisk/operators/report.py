@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bookrisk.operators.quantiles import quantiles, with_quantiles
 from bookrisk.sources import schema as S
 
 # ---------------------------------------------------------------------------
@@ -216,21 +217,15 @@ def day_rate(df: DataFrame) -> DataFrame:
             .withColumn("day_index", day_index(F.col("Day_of_Week"))))
 
 
-def describe(df: DataFrame, cols: list[str] = DESCRIBE_COLUMNS, places: int = 2, exact: bool = True) -> DataFrame:
-    """count, mean, std (n-1), min, quartiles (linear), max per column.
-    ``exact`` uses Spark's exact percentile, whose buffer grows with the
-    number of distinct values (fine for counters and day leads); pass
-    ``exact=False`` for continuous columns at scale (percentile_approx)."""
+def describe(df: DataFrame, cols: list[str] = DESCRIBE_COLUMNS, places: int = 2) -> DataFrame:
+    """count, mean, std (n-1), min, quartiles (linear, exact), max per column."""
     long = unpivot_values(df, cols).where(F.col("value").isNotNull())
-    q = (F.percentile("value", [0.25, 0.5, 0.75]) if exact
-         else F.percentile_approx("value", [0.25, 0.5, 0.75], 100000).cast("array<double>"))
     g = long.groupBy("column_name").agg(_n().alias("count"), F.avg("value").alias("mean"),
                                         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-                                        q.alias("_q"), F.max("value").alias("max"))
-    r = lambda c: F.bround(c, places)
-    return g.select("column_name", "count", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"),
-                    r(F.col("min")).alias("min"), r(F.col("_q")[0]).alias("q25"), r(F.col("_q")[1]).alias("q50"),
-                    r(F.col("_q")[2]).alias("q75"), r(F.col("max")).alias("max"))
+                                        F.max("value").alias("max"))
+    q = quantiles(long, ["column_name"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return with_quantiles(g, q, ["column_name"]).select("column_name", "count", *[
+        F.bround(c, places).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
 def value_counts(df: DataFrame, cols: list[str] = S.CATEGORICAL_COLUMNS) -> DataFrame:
@@ -269,9 +264,10 @@ def min_max_mean(df: DataFrame, cols: list[str] = ("Lead_Time_Days", "Appt_Hour"
 
 def behaviour_by_outcome(df: DataFrame, cols: list[str] = BEHAVIOUR_COLUMNS, places: int = 3) -> DataFrame:
     long = unpivot_values(df, cols, keep=["Outcome"])
-    return long.groupBy("Outcome", "column_name").agg(
-        F.bround(F.avg("value"), places).alias("mean"), F.bround(F.median("value"), places).alias("median"),
-        F.bround(F.stddev_samp("value"), places).alias("std"))
+    by = ["Outcome", "column_name"]
+    g = long.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    return with_quantiles(g, quantiles(long, by, "value", {"median": 0.5}), by).select(*by, *[
+        F.bround(c, places).alias(c) for c in ("mean", "median", "std")])
 
 
 def correlation(df: DataFrame, cols: list[str] = CORR_COLUMNS, places: int = 3) -> DataFrame:
@@ -293,12 +289,10 @@ def target_corr(df: DataFrame, feature: str = "Customer_Latent_Risk", target: st
 
 def boxplot(df: DataFrame, cols: list[str] = BEHAVIOUR_COLUMNS, by: str = "Outcome", k: float = 1.5) -> DataFrame:
     """Quartiles, whiskers at the furthest datum within k*IQR, outlier count,
-    per (group, column). Quartiles come from one grouped pass; the small
-    quartile table is broadcast back for the whisker pass."""
+    per (group, column). The quartile table has one row per group and column
+    and is broadcast back for the whisker pass."""
     long = unpivot_values(df, cols, keep=[by]).where(F.col("value").isNotNull())
-    q = (long.groupBy(by, "column_name").agg(F.percentile("value", [0.25, 0.5, 0.75]).alias("_q"))
-         .select(by, "column_name", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3")))
+    q = quantiles(long, [by, "column_name"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     lo = F.col("q1") - k * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + k * (F.col("q3") - F.col("q1"))
     j = long.join(F.broadcast(q), [by, "column_name"])
