@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,17 +34,23 @@ def _stamp(spark: SparkSession, sf: str) -> tuple:
     return tuple(out)
 
 
-def bk(spark: SparkSession, sf: str) -> DataFrame:
-    """The booking table of one scale, derived by Spark from the driver
-    tables once per session and stored as Parquet in the session's reliable
-    checkpoint folder; queries read it like any stored booking source (the
-    derivation, with its history window, is not repeated per query)."""
-    key = (spark.sparkContext.applicationId, sf, _stamp(spark, sf))
+def stored(spark: SparkSession, sf: str, name: str, write: Callable[[str], None]) -> str:
+    """Path of a derived table of one scale, written by ``write(path)`` once
+    per session in the reliable checkpoint folder."""
+    key = (spark.sparkContext.applicationId, sf, _stamp(spark, sf), name)
     path = _STORED.get(key)
     if path is None:
-        path = scratch_path(spark, "bookings")
-        bookings(spark, sf).write.mode("overwrite").parquet(path)
+        path = scratch_path(spark, name)
+        write(path)
         _STORED[key] = path
+    return path
+
+
+def bk(spark: SparkSession, sf: str) -> DataFrame:
+    """The booking table of one scale, derived by Spark from the driver
+    tables and stored as Parquet; queries read it like any stored booking
+    source (the derivation, with its history window, is not repeated per query)."""
+    path = stored(spark, sf, "bookings", lambda p: bookings(spark, sf).write.mode("overwrite").parquet(p))
     return spark.read.schema(S.BOOKING).parquet(path)
 
 

@@ -25,7 +25,7 @@ AS_OF = "1998-06-30"
 QUEUE_THRESHOLD = 0.35
 
 
-def risk_scores(spark, sf) -> DataFrame:
+def risk_score_rows(spark, sf) -> DataFrame:
     """v1: the frozen card at booking time for every booking; v2: a second
     card one day later for a hashed share of bookings."""
     v1 = ST.risk_score_rows(C.ac(spark, sf), "v1")
@@ -35,8 +35,17 @@ def risk_scores(spark, sf) -> DataFrame:
     return v1.unionByName(v2)
 
 
+def risk_scores(spark, sf) -> DataFrame:
+    """The ``risk_scores`` store, written once per session."""
+    path = C.stored(spark, sf, "risk_scores", lambda p: ST.write_partitioned(risk_score_rows(spark, sf), p, "scored_at"))
+    return ST.read_store(spark, path).drop("month")
+
+
 def intervention_log(spark, sf) -> DataFrame:
-    return ST.intervention_rows(C.ac(spark, sf))
+    """The ``intervention_log`` store, written once per session."""
+    path = C.stored(spark, sf, "intervention_log",
+                    lambda p: ST.write_partitioned(ST.intervention_rows(C.ac(spark, sf)), p, "sent_at"))
+    return ST.read_store(spark, path).drop("month")
 
 
 # ---------------------------------------------------------------- SQL side
@@ -69,7 +78,7 @@ RS_COLS = f"booking_id, no_show_probability, risk_level, action_type, {TS('score
 @query("sink_risk_scores", WS + f"SELECT {RS_COLS}, strftime(scored_at, '%Y-%m') AS month FROM rs")
 def sink_risk_scores(spark, sf):
     path = C.scratch_path(spark, "risk_scores")
-    ST.write_partitioned(risk_scores(spark, sf), path, "scored_at")
+    ST.write_partitioned(risk_score_rows(spark, sf), path, "scored_at")
     return C.texts(ST.read_store(spark, path)).withColumn("month", F.col("month").cast("string"))
 
 
@@ -77,7 +86,7 @@ def sink_risk_scores(spark, sf):
 SELECT booking_id, channel, {TS('sent_at')} AS sent_at, outcome, strftime(sent_at, '%Y-%m') AS month FROM il""")
 def sink_intervention_log(spark, sf):
     path = C.scratch_path(spark, "intervention_log")
-    ST.write_partitioned(intervention_log(spark, sf), path, "sent_at")
+    ST.write_partitioned(ST.intervention_rows(C.ac(spark, sf)), path, "sent_at")
     return C.texts(ST.read_store(spark, path)).withColumn("month", F.col("month").cast("string"))
 
 

@@ -1,6 +1,6 @@
-"""Queries: streaming. Each streaming operator has a batch twin
-over the same functions with an exact SQL oracle; the streamed runs are
-rows-only (and equal the batch result where the semantics allow)."""
+"""Queries: streaming. Each streaming operator shares its
+functions with the batch path; the streamed runs are compared with the same
+SQL as the batch results."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from bookrisk.plans import common as C
 from bookrisk.plans.catalog import query
 from bookrisk.plans.common import TS, sel_text
 from bookrisk.plans.q_reports import r6
+from bookrisk.plans.q_stores import RS_COLS, WS
 from bookrisk.plans.sql import with_
-from bookrisk.sources import schema as S
 from bookrisk.sources.bookings import scoring_log
 from bookrisk.streaming import stream as SS
 from bookrisk.streaming.payload import parse_payload, to_payload
@@ -22,40 +22,45 @@ REPLAY_SHARE = 0.01
 LATE_SHARE = 0.01
 
 
-def _feed_bookings(spark, sf) -> str:
-    """Bookings as Parquet files, one per booking year, in time order; a
-    share of rows is replayed in the same file and a share re-sent late
-    in a final file."""
-    b = C.bk(spark, sf)
-    ok = F.col("Booking_ID")
-    rows = b.unionByName(b.where(uniform(ok, "rep") < REPLAY_SHARE)).withColumn("_y", F.year("Booking_Time"))
-    years = [r[0] for r in rows.select("_y").distinct().orderBy("_y").collect()]  # a handful of years
-    path = C.scratch_path(spark, "stream-bookings")
-    SS.write_in_order(rows.coalesce(1), path, "_y", years)
-    b.where(uniform(ok, "late") < LATE_SHARE).coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
-def _run(spark, stream, name):
+def _stream(spark, rows, again, ts, build, name, close_days=0):
+    """Stream ``rows`` in two runs of one query and read the sink: the first
+    run takes the earlier half of the event time, the second, which resumes
+    from the checkpoint, the rest with the rows of ``again`` (replays and late
+    copies) and the row that closes the windows."""
     base = C.scratch_path(spark, name)
-    SS.run_available_now(stream, base + "/out", base + "/_checkpoint")
+    half = rows.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).select(
+        (F.col("a") + (F.col("b") - F.col("a")) / 2).alias("half")).first()["half"]  # one value
+
+    def run():
+        SS.run_available_now(build(SS.read_files(spark, base + "/feed", rows.schema)), base + "/out", base + "/_checkpoint")
+    early = F.coalesce(F.col(ts) < F.lit(half).cast(rows.schema[ts].dataType), F.lit(False))
+    SS.write_feed(rows, base + "/feed", ts, early)
+    run()
+    rest = rows.where(~early).unionByName(again)
+    SS.write_feed(rest.unionByName(SS.closing_row(rows, ts, close_days)) if close_days else rest, base + "/feed", ts)
+    run()
     return spark.read.parquet(base + "/out")
 
 
-@query("stream_score")
+def _copies(b):
+    """Bookings that arrive once more with the second run, and late ones."""
+    ok = F.col("Booking_ID")
+    return b.where(uniform(ok, "rep") < REPLAY_SHARE).unionByName(b.where(uniform(ok, "late") < LATE_SHARE))
+
+
+@query("stream_score", WS + f"SELECT {RS_COLS} FROM rs WHERE model_version = 'v1'")
 def stream_score(spark, sf):
-    """File stream -> de-duplicate -> score -> act -> Parquet sink."""
-    src = _feed_bookings(spark, sf)
-    s = SS.score_and_act(SS.dedup(SS.read_files(spark, src, S.BOOKING)))
-    return _run(spark, s, "stream-score")
+    """File stream -> de-duplicate -> score -> act -> ``risk_scores`` rows."""
+    b = C.bk(spark, sf)
+    return C.texts(_stream(spark, b, _copies(b), "Booking_Time", lambda s: SS.score_to_store(SS.dedup(s), "v1"), "stream-score"))
 
 
-@query("stream_dedup")
+@query("stream_dedup", with_("bk") + f"SELECT Booking_ID, {TS('Booking_Time')} AS Booking_Time FROM bk")
 def stream_dedup(spark, sf):
     """Replays and late copies removed: one row per booking."""
-    src = _feed_bookings(spark, sf)
-    s = SS.dedup(SS.read_files(spark, src, S.BOOKING)).select("Booking_ID", "Booking_Time")
-    return C.texts(_run(spark, s, "stream-dedup"))
+    b = C.bk(spark, sf)
+    return C.texts(_stream(spark, b, _copies(b), "Booking_Time",
+                           lambda s: SS.dedup(s).select("Booking_ID", "Booking_Time"), "stream-dedup"))
 
 
 query("stream_parse_payload", with_("bk") + f"SELECT {sel_text(C.BOOKING_COLS)} FROM bk")(
@@ -99,34 +104,29 @@ def _tumbling_batch(spark, sf):
 query("stream_tumbling_ops", _OPS_SQL)(lambda spark, sf: C.texts(r6(_tumbling_batch(spark, sf))))
 
 
-@query("stream_tumbling_ops_stream")
+@query("stream_tumbling_ops_stream", _OPS_SQL)
 def stream_tumbling_ops_stream(spark, sf):
-    """The scoring log as a daily file stream; windows are emitted once the
-    watermark passes them."""
+    """The scoring log as a file stream; a window is emitted once the
+    watermark passes it, and the closing row carries it past the last."""
     log = scoring_log(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    log = log.withColumn("_d", F.to_date("ts"))
-    days = [r[0] for r in log.select("_d").distinct().orderBy("_d").collect()]  # one per day of log
-    path = C.scratch_path(spark, "stream-ops")
-    SS.write_in_order(log.coalesce(1), path, "_d", days)
-    s = SS.tumbling_ops(SS.read_files(spark, path, log.drop("_d").schema, files_per_batch=3))
-    return _run(spark, s, "stream-ops")
+    return C.texts(r6(_stream(spark, log, log.limit(0), "ts", SS.tumbling_ops, "stream-ops", close_days=1)))
 
 
-query("stream_sliding_drift", with_("bk") + """
+_DRIFT_SQL = with_("bk") + """
 , w AS (SELECT DISTINCT time_bucket(INTERVAL 7 DAY, Appointment_Time, TIMESTAMP '1970-01-01') - INTERVAL (7 * k) DAY AS ws
   FROM bk, range(0, 4) r(k)),
 j AS (SELECT ws, count(*) AS n, count(*) FILTER (WHERE Outcome = 'No-Show') AS no_shows FROM w JOIN bk
   ON bk.Appointment_Time >= ws AND bk.Appointment_Time < ws + INTERVAL 28 DAY GROUP BY ws)
 SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws + INTERVAL 28 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
-  CAST(n AS BIGINT) AS n, CAST(no_shows AS BIGINT) AS no_shows, round(no_shows / n, 6) AS no_show_rate FROM j""")(
+  CAST(n AS BIGINT) AS n, CAST(no_shows AS BIGINT) AS no_shows, round(no_shows / n, 6) AS no_show_rate FROM j"""
+query("stream_sliding_drift", _DRIFT_SQL)(
     lambda spark, sf: C.texts(r6(SS.sliding_rate(C.bk(spark, sf), watermark=None))))
 
 
-@query("stream_sliding_drift_stream")
+@query("stream_sliding_drift_stream", _DRIFT_SQL)
 def stream_sliding_drift_stream(spark, sf):
-    """Sliding 4-week no-show rate over the booking file stream; rows later
-    than the watermark are dropped, closed windows are appended."""
-    src = _feed_bookings(spark, sf)
-    s = SS.sliding_rate(SS.read_files(spark, src, S.BOOKING), dedup_key="Booking_ID")
-    return C.texts(_run(spark, s, "stream-drift"))
-
+    """Sliding 4-week no-show rate over the booking file stream in appointment
+    order; rows later than the watermark are dropped, closed windows appended."""
+    b = C.bk(spark, sf)
+    return C.texts(r6(_stream(spark, b, _copies(b), "Appointment_Time",
+                              lambda s: SS.sliding_rate(s, dedup_key="Booking_ID"), "stream-drift", close_days=100)))

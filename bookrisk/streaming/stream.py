@@ -10,21 +10,22 @@ from its last committed batch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from bookrisk.operators.rules import action_record, evaluate
 from bookrisk.operators.score import score_frozen
+from bookrisk.operators.stores import risk_score_rows
 
 DEDUP_WATERMARK = "30 days"
 OPS_WATERMARK = "2 minutes"
 DRIFT_WATERMARK = "14 days"
 
 
-def read_files(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
+def read_files(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """File source with a fixed schema (no inference on a stream)."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def dedup(stream: DataFrame, key: str = "Booking_ID", ts: str = "Booking_Time",
@@ -40,6 +41,11 @@ def score_and_act(stream: DataFrame) -> DataFrame:
     return action_record(evaluate(score_frozen(stream)))
 
 
+def score_to_store(stream: DataFrame, model_version: str) -> DataFrame:
+    """``risk_scores`` rows of the arriving bookings."""
+    return risk_score_rows(evaluate(score_frozen(stream)), model_version)
+
+
 def tumbling_ops(log: DataFrame, window: str = "1 minute", watermark: str = OPS_WATERMARK) -> DataFrame:
     """Failure / null-feature rates and mean latency per tumbling window."""
     return (log.withWatermark("ts", watermark)
@@ -69,14 +75,25 @@ def sliding_rate(bookings: DataFrame, length: str = "28 days", slide: str = "7 d
 
 
 def run_available_now(stream: DataFrame, sink: str, checkpoint: str) -> None:
-    """Process everything available in micro-batches, append to Parquet, stop."""
+    """Process everything available, append to Parquet, stop. A later run with
+    the same ``checkpoint`` goes on with the files that arrived since."""
     q = (stream.writeStream.format("parquet").outputMode("append")
          .option("path", sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def write_in_order(df: DataFrame, path: str, part: str, parts: list) -> None:
-    """Test feed: one write per period so files arrive in period order."""
-    for p in parts:
-        df.where(F.col(part) == p).drop(part).write.mode("append").parquet(path)
+def write_feed(df: DataFrame, path: str, ts: str, before: Column | None = None) -> None:
+    """Append the rows (those that meet ``before``) as feed files, dealt out
+    by ranges of event time."""
+    rows = df if before is None else df.where(before)
+    rows.repartitionByRange(ts).sortWithinPartitions(ts).write.mode("append").parquet(path)
+
+
+def closing_row(df: DataFrame, ts: str, days: int) -> DataFrame:
+    """One row, null but for an event time ``days`` after the last one: it
+    carries the watermark past every window with data, so that they are all
+    emitted. Its own window stays open. No row for an empty input."""
+    last = df.agg(F.max(ts).alias("_last")).where("_last is not null")
+    return last.select(*[(F.col("_last") + F.make_dt_interval(F.lit(days)) if f.name == ts else F.lit(None).cast(f.dataType)).alias(f.name)
+                         for f in df.schema.fields])
