@@ -99,10 +99,12 @@ def validate_types(df: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     if raw is None:
         return flags.withColumn("cast_failures", F.lit(0).cast("bigint"))
     fails = []
-    for c in S.DATETIME_COLUMNS:
-        if c in raw.columns:
-            bad = F.expr(f"try_cast(`{c}` AS TIMESTAMP_NTZ)").isNull() & F.col(c).isNotNull()
-            fails.append(F.struct(F.lit(c).alias("column_name"), F.count_if(bad).alias("cast_failures")))
+    for _, cols, _types in _GROUPS:
+        for c in cols:
+            if c in raw.columns and c in df.columns:
+                to = df.schema[c].dataType if c not in S.DATETIME_COLUMNS else T.TimestampNTZType()
+                bad = F.col(c).try_cast(to).isNull() & F.col(c).isNotNull()
+                fails.append(F.struct(F.lit(c).alias("column_name"), F.count_if(bad).alias("cast_failures")))
     agg = raw.agg(F.array(*fails).alias("a")).select(F.explode("a").alias("x")).select("x.*")
     return (flags.join(F.broadcast(agg), "column_name", "left")
             .select("grp", "column_name", "type_ok",

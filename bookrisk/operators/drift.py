@@ -28,6 +28,7 @@ LEAD_MEAN_SHIFT = 1.0
 NEW_SHARE_REF = 0.10
 NEW_SHARE_SHIFT = 0.05
 CASH_SHARE_SHIFT = 0.08
+NO_SHOW_BAND_PP = 4.0
 RETRAIN_RECALL = 0.55
 RETRAIN_PRECISION = 0.35
 RETRAIN_VOLUME = 0.20
@@ -172,6 +173,54 @@ def drift_report(df: DataFrame, psi_table: DataFrame, ks_table: DataFrame, chi_t
                                           F.col("p_value").alias("value"), none.alias("reference"), "alert")))
 
 
+def weekly_drift(df: DataFrame, rolling: DataFrame, feature: str = "Customer_No_Show_Rate", bins: int = 10,
+                 run: int = 3) -> DataFrame:
+    """The weekly report over the appointment weeks of the current period, five
+    rows a week (week, feature, metric, value, reference, alert): PSI of
+    ``feature`` against the reference period (binned as in :func:`psi`; null
+    when a side has no value in range), mean lead, share of new customers, cash
+    share, and the rolling 4-week no-show rate, which alerts after ``run``
+    weeks in a row outside the band. ``rolling`` has the rate per week."""
+    from bookrisk.functions.columns import elapsed_days_floor
+    ref = F.col("period") == "reference"
+    x = F.col(feature).cast("double")
+    rng = df.where(ref).agg(F.min(x).alias("lo0"), F.max(x).alias("hi0")).select(
+        F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("_lo"),
+        F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("_hi"))
+    step = (F.col("_hi") - F.col("_lo")) / float(bins)
+    edge = [F.lit(float(i)) * step + F.col("_lo") for i in range(bins)]
+    inside = [(x >= edge[i]) & ((x < edge[i + 1]) if i + 1 < bins else (x <= F.col("_hi"))) for i in range(bins)]
+    wk = F.date_trunc("week", F.col("Appointment_Time").cast("timestamp")).cast("date").alias("week")
+    weeks = df.crossJoin(F.broadcast(rng)).groupBy("period", wk).agg(  # one row per period and week
+        F.count(F.lit(1)).alias("n"), F.avg(elapsed_days_floor("Booking_Time", "Appointment_Time")).alias("lead"),
+        F.avg((F.col("Past_Visit_Count") == 0).cast("int")).alias("new"), F.count_if(F.col("Payment_Method") == "Cash").alias("cash"),
+        F.count("Payment_Method").alias("paid"), *[F.count_if(c).alias(f"b{i}") for i, c in enumerate(inside)])
+    base = weeks.where(ref).agg((F.sum("cash") / F.nullif(F.sum("paid"), F.lit(0))).alias("ref_cash"),
+                                *[F.sum(f"b{i}").alias(f"e{i}") for i in range(bins)])
+    w = Window.orderBy((F.datediff("week", F.lit("1970-01-05").cast("date")) / 7).cast("int")).rangeBetween(-(run - 1), 0)
+    out = (F.abs(F.col("rolling_no_show_rate") * 100 - S.BASELINE_NO_SHOW_PCT) > NO_SHOW_BAND_PP).cast("int")
+    rate = rolling.select("week", "rolling_no_show_rate", out.alias("_out")).select(
+        "week", "rolling_no_show_rate", ((F.count(F.lit(1)).over(w) == run) & (F.min("_out").over(w) == 1)).alias("_run"))
+
+    def share(prefix):
+        total = F.nullif(sum((F.col(f"{prefix}{i}") for i in range(bins)), F.lit(0)), F.lit(0))
+        return [F.greatest(F.lit(PSI_CLIP), F.col(f"{prefix}{i}") / total) for i in range(bins)], total.isNotNull()
+    (e, e_some), (a, a_some) = share("e"), share("b")
+    index = F.when(e_some & a_some, sum(((q - p) * F.log(q / p) for p, q in zip(e, a, strict=True)), F.lit(0.0)))
+    cash, none = F.col("cash") / F.nullif("paid", F.lit(0)), F.lit(None).cast("double")
+
+    def row(name, metric, value, reference, alert):
+        return F.struct(F.lit(name).alias("feature"), F.lit(metric).alias("metric"), value.alias("value"),
+                        reference.alias("reference"), F.coalesce(alert.cast("int"), F.lit(0)).alias("alert"))
+    rows = [row(feature, "psi", index, none, index > PSI_SIGNIFICANT),
+            row("Lead_Time_Days", "mean", F.col("lead"), F.lit(LEAD_MEAN_REF), F.abs(F.col("lead") - LEAD_MEAN_REF) > LEAD_MEAN_SHIFT),
+            row("Is_New_Customer", "share", F.col("new"), F.lit(NEW_SHARE_REF), F.abs(F.col("new") - NEW_SHARE_REF) > NEW_SHARE_SHIFT),
+            row("Payment_Method_Cash", "share", cash, F.col("ref_cash"), F.abs(cash - F.col("ref_cash")) > CASH_SHARE_SHIFT),
+            row("No_Show_Rate", "rolling_4wk", F.col("rolling_no_show_rate"), F.lit(S.BASELINE_NO_SHOW_PCT / 100.0), F.col("_run"))]
+    return (weeks.where(F.col("period") == "current").crossJoin(F.broadcast(base)).join(rate, "week", "left")
+            .select("week", F.explode(F.array(*rows)).alias("x")).select("week", "x.*"))
+
+
 # ------------------------------------------------------------------ weekly performance
 def weekly_performance(scored: DataFrame, threshold: float) -> DataFrame:
     """Per appointment week: recall, precision, F1, AUC and Brier, each with

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from bookrisk.functions.hashing import uniform
 
 SCORE_PLACES = 4
-MODEL_ORDER = ["lr", "rf", "xgb", "ensemble"]
+MODEL_ORDER = ["lr", "dt", "rf", "xgb", "gbt", "ensemble"]
 
 
 def model_rank(model: Column) -> Column:

@@ -39,41 +39,71 @@ def _assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=BASE_FEATURES, outputCol="features", handleInvalid="keep")
 
 
-def estimator(kind: str, weight_sum: float = 1.0, pos_weight: float = 1.0):
-    """The four classifiers with the reference's settings (MLlib terms)."""
+# ---------------------------------------------------------------------------
+# Fixed values (the three published groups of model settings)
+# ---------------------------------------------------------------------------
+SETTINGS = {
+    "script": {
+        "lr": {"C": 1.0},
+        "dt": {"depth": 8, "min_leaf": 1},
+        "rf": {"trees": 200, "depth": 10, "min_leaf": 1},
+        "gbt": {"trees": 200, "depth": 6, "rate": 0.1, "rows": 1.0, "columns": 1.0, "min_child": 1, "gamma": 0.0, "weighted": True},
+    },
+    "pipeline": {
+        "lr": {"C": 0.5},
+        "dt": {"depth": 8, "min_leaf": 50},
+        "rf": {"trees": 300, "depth": 12, "min_leaf": 20},
+        "gbt": {"trees": 400, "depth": 6, "rate": 0.05, "rows": 0.8, "columns": 0.8, "min_child": 5, "gamma": 0.1, "weighted": False},
+    },
+    "notebook": {
+        "lr": {"C": 1.0},
+        "dt": {"depth": 8, "min_leaf": 50},
+        "rf": {"trees": 500, "depth": 12, "min_leaf": 20},
+        "gbt": {"trees": 500, "depth": 5, "rate": 0.03, "rows": 0.8, "columns": 0.7, "min_child": 10, "gamma": 0.2, "weighted": True},
+    },
+}
+
+
+def estimator(kind: str, weight_sum: float = 1.0, settings: str = "script"):
+    """The stages of one of the four classifiers in MLlib terms: ``C`` is
+    ``regParam`` = 1 / (C * weight sum); the gain floor ``gamma``, a sum over
+    the rows, is ``minInfoGain`` = gamma / weight sum; columns are drawn per
+    node and ``min_child`` counts rows. There is no L1 / L2 on leaf values."""
+    if kind not in SETTINGS[settings]:
+        raise ValueError(f"unknown model kind {kind!r}")
+    s = SETTINGS[settings][kind]
+    common = {"labelCol": "No_Show", "weightCol": "weight"}
     if kind == "lr":
         # scaling is a stage of the LR pipeline only
         return [StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
-                LogisticRegression(featuresCol="scaled", labelCol="No_Show", weightCol="weight", maxIter=1000,
-                                   regParam=1.0 / (1.0 * weight_sum), elasticNetParam=0.0, standardization=False)]
+                LogisticRegression(featuresCol="scaled", maxIter=1000, regParam=1.0 / (s["C"] * weight_sum),
+                                   elasticNetParam=0.0, standardization=False, **common)]
     if kind == "dt":
-        return [DecisionTreeClassifier(featuresCol="features", labelCol="No_Show", weightCol="weight", maxDepth=8,
-                                       seed=SEED)]
+        return [DecisionTreeClassifier(maxDepth=s["depth"], minInstancesPerNode=s["min_leaf"], seed=SEED, **common)]
     if kind == "rf":
-        return [RandomForestClassifier(featuresCol="features", labelCol="No_Show", weightCol="weight", numTrees=200,
-                                       maxDepth=10, featureSubsetStrategy="sqrt", seed=SEED)]
-    if kind == "gbt":
-        return [GBTClassifier(featuresCol="features", labelCol="No_Show", weightCol="weight", maxIter=200, maxDepth=6,
-                              stepSize=0.1, seed=SEED)]
-    raise ValueError(f"unknown model kind {kind!r}")
+        return [RandomForestClassifier(numTrees=s["trees"], maxDepth=s["depth"], minInstancesPerNode=s["min_leaf"],
+                                       featureSubsetStrategy="sqrt", seed=SEED, **common)]
+    columns = "all" if s["columns"] == 1.0 else str(s["columns"])
+    return [GBTClassifier(maxIter=s["trees"], maxDepth=s["depth"], stepSize=s["rate"], subsamplingRate=s["rows"],
+                          featureSubsetStrategy=columns, minInstancesPerNode=s["min_child"],
+                          minInfoGain=s["gamma"] / weight_sum, seed=SEED, **common)]
 
 
-def weighted(train: DataFrame, kind: str) -> tuple[DataFrame, float, float]:
-    """Training rows with the weight column, the weight sum and n0/n1.
-    LR, tree and forest use balanced weights; boosting weights positives by n0/n1."""
+def weighted(train: DataFrame, kind: str, settings: str = "script") -> tuple[DataFrame, float]:
+    """Training rows with the weight column, and the weight sum. LR, tree and
+    forest use balanced weights; boosting weights positives by n0/n1 or not at all."""
     cw = M.class_weights(train).first()  # one aggregate row
     n0, n1 = int(cw["n0"]), int(cw["n1"])
     if kind == "gbt":
-        pw = n0 / n1 if n1 else 1.0
+        pw = n0 / n1 if n1 and SETTINGS[settings]["gbt"]["weighted"] else 1.0
         t = train.withColumn("weight", F.when(F.col("No_Show") == 1, F.lit(pw)).otherwise(F.lit(1.0)))
-        return t, n0 + pw * n1, pw
-    t = M.with_class_weight(train, M.class_weights(train))
-    return t, float(n0 + n1), (n0 / n1 if n1 else 1.0)
+        return t, n0 + pw * n1
+    return M.with_class_weight(train, M.class_weights(train)), float(n0 + n1)
 
 
-def fit(train: DataFrame, kind: str) -> PipelineModel:
-    t, wsum, pw = weighted(train, kind)
-    return Pipeline(stages=[_assembler(), *estimator(kind, wsum, pw)]).fit(t)
+def fit(train: DataFrame, kind: str, settings: str = "script") -> PipelineModel:
+    t, wsum = weighted(train, kind, settings)
+    return Pipeline(stages=[_assembler(), *estimator(kind, wsum, settings)]).fit(t)
 
 
 def score(model: PipelineModel, feats: DataFrame, keep: list[str] = ("Booking_ID",)) -> DataFrame:

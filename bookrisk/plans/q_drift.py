@@ -159,6 +159,35 @@ UNION ALL SELECT feature, 'chi2_p_value', round(p_value, 6), NULL, CAST(p_value
     lambda spark, sf: r6(D.drift_report(periods(spark, sf), psi_table(spark, sf), ks_table(spark, sf),
                                         chi_table(spark, sf))))
 
+query("drift_report_weekly", with_("ft", "rp") + ROLL + ", " + PD + """,
+wx AS (SELECT period, CAST(date_trunc('week', Appointment_Time) AS DATE) AS week, Lead_Time_Days, Past_Visit_Count, Payment_Method,
+  CAST(Customer_No_Show_Rate AS DOUBLE) AS x FROM pd),
+wr AS (SELECT CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+  CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM wx WHERE period = 'reference'),
+wb AS (SELECT period, week, least(9, len(list_filter([""" + _EDGES + """], lambda e: e <= x))) AS bin FROM wx, wr WHERE x BETWEEN lo AND hi),
+we AS (SELECT bin, count(*) AS e FROM wb WHERE period = 'reference' GROUP BY bin),
+wa AS (SELECT week, bin, count(*) AS a FROM wb WHERE period = 'current' GROUP BY ALL),
+wg AS (SELECT w.week, greatest(1e-6, coalesce(e, 0) / (SELECT sum(e) FROM we)) AS ep,
+  greatest(1e-6, coalesce(a, 0) / sum(a) OVER (PARTITION BY w.week)) AS ap
+  FROM (SELECT DISTINCT week FROM wa) w CROSS JOIN range(10) b(bin) LEFT JOIN we ON we.bin = b.bin
+  LEFT JOIN wa ON wa.week = w.week AND wa.bin = b.bin),
+wp AS (SELECT week, sum((ap - ep) * ln(ap / ep)) AS psi FROM wg GROUP BY week),
+wm AS (SELECT week, avg(Lead_Time_Days) AS lead, avg(CAST(Past_Visit_Count = 0 AS INTEGER)) AS new,
+  avg(CAST(Payment_Method = 'Cash' AS INTEGER)) AS cash FROM wx WHERE period = 'current' GROUP BY week),
+wc AS (SELECT avg(CAST(Payment_Method = 'Cash' AS INTEGER)) AS ref FROM wx WHERE period = 'reference'),
+wo AS (SELECT roll.week, rolling_no_show_rate AS v, CAST(date_diff('day', DATE '1970-01-05', roll.week) / 7 AS INTEGER) AS wno FROM roll),
+wt AS (SELECT week, v, CAST(count(*) OVER w = 3 AND min(CAST(abs(v * 100 - 24.1) > 4.0 AS INTEGER)) OVER w = 1 AS INTEGER) AS alert
+  FROM wo WINDOW w AS (ORDER BY wno RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)),
+rows5 AS (
+  SELECT m.week, 'Customer_No_Show_Rate' AS feature, 'psi' AS metric, psi AS value, NULL::DOUBLE AS reference, coalesce(psi > 0.2, false)::INTEGER AS alert
+    FROM wm m LEFT JOIN wp USING (week)
+  UNION ALL SELECT week, 'Lead_Time_Days', 'mean', lead, 3.08, (abs(lead - 3.08) > 1.0)::INTEGER FROM wm
+  UNION ALL SELECT week, 'Is_New_Customer', 'share', new, 0.10, (abs(new - 0.10) > 0.05)::INTEGER FROM wm
+  UNION ALL SELECT week, 'Payment_Method_Cash', 'share', cash, ref, (abs(cash - ref) > 0.08)::INTEGER FROM wm, wc
+  UNION ALL SELECT m.week, 'No_Show_Rate', 'rolling_4wk', v, 0.241, alert FROM wm m LEFT JOIN wt USING (week))
+SELECT CAST(week AS VARCHAR) AS week, feature, metric, round(value, 6) AS value, round(reference, 6) AS reference, alert FROM rows5""")(
+    lambda spark, sf: r6(D.weekly_drift(periods(spark, sf), rolling(spark, sf))).withColumn("week", F.col("week").cast("string")))
+
 _WEEK_SQL = """
 , sw AS (SELECT CAST(date_trunc('week', Appointment_Time) AS DATE) AS week, no_show_probability AS score, No_Show AS label FROM rp),
 wc AS """ + CM("sw", str(QUEUE_THRESHOLD), "week") + """,

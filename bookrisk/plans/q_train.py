@@ -12,6 +12,12 @@ from bookrisk.operators import train as TR
 from bookrisk.operators.rules import action_record, evaluate
 from bookrisk.plans import common as C
 from bookrisk.plans.catalog import query
+from bookrisk.plans.sql import with_
+
+
+#: Settings of the single fits. Forest and boosting run the group with the
+#: fewest trees; the larger groups are the same call with another name.
+SETTINGS = {"lr": "pipeline", "dt": "pipeline", "rf": "script", "gbt": "script"}
 
 
 def _split(spark, sf):
@@ -21,7 +27,7 @@ def _split(spark, sf):
 def _train_eval(kind, name):
     def run(spark, sf):
         d = _split(spark, sf)
-        model = TR.fit(d.where(F.col("split") == "train").drop("split"), kind)
+        model = TR.fit(d.where(F.col("split") == "train").drop("split"), kind, SETTINGS[kind])
         return TR.evaluate_model(name, TR.score(model, d.where(F.col("split") == "test")))
     return run
 
@@ -65,25 +71,48 @@ def score_convenience(spark, sf):
     return action_record(evaluate(b.join(scored, "Booking_ID")))
 
 
-@query("sink_models")
-def sink_models(spark, sf):
-    """Save the fitted pipeline and a one-row registry (version, threshold
-    tuned on validation, test metrics); returns the registry read back."""
+NAMES = ("lr", "dt", "rf", "gbt")
+VOTERS = ("lr", "rf", "gbt")
+VERSION = "v1"
+
+
+def _train_and_save(spark, sf, base: str) -> None:
+    """load -> features -> 60/20/20 split -> fit the four models -> save them
+    -> threshold of the best F1 on validation, also for the soft vote of
+    three -> metrics on test -> registry, ``is_best`` by test F1."""
     d = M.split_three(TR.feature_table(C.bk(spark, sf)))
-    model = TR.fit(d.where(F.col("split") == "train").drop("split"), "lr")
-    base = C.scratch_path(spark, "models")
-    TR.save(model, base + "/lr")
-    test = TR.score(model, d.where(F.col("split") == "test"))
-    long = TR.score(model, d.where(F.col("split") == "val")).select(
-        F.lit("lr").alias("model"), F.col("no_show_probability").alias("score"), F.col("No_Show").alias("label"))
-    thr = M.threshold_max_recall(M.pr_curve(long)).select("model", F.col("threshold").alias("best_threshold"))
-    reg = (TR.evaluate_model("lr", test).join(thr, "model")
-           .withColumns({"model_version": F.lit("v1"), "path": F.lit(base + "/lr")}))
-    reg.write.mode("overwrite").parquet(base + "/registry")
-    return spark.read.parquet(base + "/registry")
-
-
-@query("load_models")
+    train, rest = d.where(F.col("split") == "train").drop("split"), d.where(F.col("split").isin("val", "test"))
+    scores = rest.select("Booking_ID", "split", "No_Show")
+    for kind in NAMES:
+        TR.save(TR.fit(train, kind), f"{base}/{kind}")
+        scores = scores.join(TR.score(TR.load(f"{base}/{kind}"), rest).select(
+            "Booking_ID", F.col("no_show_probability").alias(f"score_{kind}")), "Booking_ID")
+    scores = M.ensemble_soft_vote(scores, [f"score_{k}" for k in VOTERS])
+    long = M.long_scores(scores, {k: f"score_{k}" for k in (*NAMES, "ensemble")})
+    table = M.tuned_table(long.where(F.col("split") == "val"), long.where(F.col("split") == "test"))
+    parts = F.when(F.col("model") == "ensemble", F.lit(",".join(f"{base}/{k}" for k in VOTERS))).otherwise(
+        F.concat(F.lit(base + "/"), F.col("model")))
+    table.withColumns({"model_version": F.lit(VERSION), "path": parts}).write.mode("overwrite").parquet(base + "/registry")
+
+
+def _registry(spark, sf):
+    path = C.stored(spark, sf, "models", lambda p: _train_and_save(spark, sf, p))
+    return spark.read.parquet(path + "/registry")
+
+
+@query("sink_models", "SELECT unnest(['lr', 'dt', 'rf', 'gbt', 'ensemble']) AS model, 'v1' AS model_version, 1 AS saved, 1 AS tuned")
+def sink_models(spark, sf):
+    """The saved models and the registry read back: which models there are,
+    whether their files load, and whether they have a threshold."""
+    rows = _registry(spark, sf)
+    path = C.stored(spark, sf, "models", lambda p: _train_and_save(spark, sf, p))
+    stages = spark.createDataFrame([(k, len(TR.load(f"{path}/{k}").stages)) for k in NAMES], "model string, stages int")
+    every = F.lit(len(NAMES)) == stages.agg(F.count_if(F.col("stages") > 0).alias("n")).first()["n"]
+    return rows.select("model", "model_version", every.cast("int").alias("saved"),
+                       F.col("tuned_threshold").between(0, 1).cast("int").alias("tuned"))
+
+
+@query("load_models", with_("bk") + "SELECT Booking_ID, 1 AS equal FROM bk")
 def load_models(spark, sf):
     """Save, load back and score: the loaded pipeline gives the same scores."""
     model = _lr_model(spark, sf)
@@ -93,7 +122,7 @@ def load_models(spark, sf):
     feats = TR.feature_table(C.bk(spark, sf), with_target=False)
     a = TR.score(model, feats).withColumnRenamed("no_show_probability", "p_fitted").drop("risk_level")
     b = TR.score(loaded, feats).withColumnRenamed("no_show_probability", "p_loaded")
-    return a.join(b, "Booking_ID").withColumn("equal", (F.col("p_fitted") == F.col("p_loaded")).cast("int"))
+    return a.join(b, "Booking_ID").select("Booking_ID", (F.col("p_fitted") == F.col("p_loaded")).cast("int").alias("equal"))
 
 
 @query("topk_importance")
@@ -104,17 +133,5 @@ def topk_importance(spark, sf):
 
 @query("train_pipeline")
 def train_pipeline(spark, sf):
-    """load -> features -> 60/20/20 split -> fit all four -> test metrics at
-    0.50 and at the max-F1 threshold tuned on validation; one row per model."""
-    d = M.split_three(TR.feature_table(C.bk(spark, sf)))
-    train = d.where(F.col("split") == "train").drop("split")
-    rows = None
-    for kind, name in (("lr", "lr"), ("dt", "dt"), ("rf", "rf"), ("gbt", "gbt")):
-        model = TR.fit(train, kind)
-        s = TR.score(model, d.where(F.col("split").isin("val", "test")), keep=["Booking_ID", "split"])
-        long = s.select(F.lit(name).alias("model"), "Booking_ID", "split",
-                        F.col("no_show_probability").alias("score"), F.col("No_Show").alias("label"))
-        val, test = long.where(F.col("split") == "val"), long.where(F.col("split") == "test")
-        t = M.tuned_table(val, test).drop("is_best")
-        rows = t if rows is None else rows.unionByName(t)
-    return rows
+    """The registry of :func:`_train_and_save`: a row per model and for the soft vote."""
+    return _registry(spark, sf)
