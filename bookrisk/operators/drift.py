@@ -202,12 +202,14 @@ def weekly_drift(df: DataFrame, rolling: DataFrame, feature: str = "Customer_No_
     rate = rolling.select("week", "rolling_no_show_rate", out.alias("_out")).select(
         "week", "rolling_no_show_rate", ((F.count(F.lit(1)).over(w) == run) & (F.min("_out").over(w) == 1)).alias("_run"))
 
+    def total(prefix):
+        return F.nullif(sum((F.col(f"{prefix}{i}") for i in range(bins)), F.lit(0)), F.lit(0))
+
     def share(prefix):
-        total = F.nullif(sum((F.col(f"{prefix}{i}") for i in range(bins)), F.lit(0)), F.lit(0))
-        return [F.greatest(F.lit(PSI_CLIP), F.col(f"{prefix}{i}") / total) for i in range(bins)], total.isNotNull()
-    (e, e_some), (a, a_some) = share("e"), share("b")
-    index = F.when(e_some & a_some, sum(((q - p) * F.log(q / p) for p, q in zip(e, a, strict=True)), F.lit(0.0)))
-    cash, none = F.col("cash") / F.nullif("paid", F.lit(0)), F.lit(None).cast("double")
+        return [F.greatest(F.lit(PSI_CLIP), F.col(f"{prefix}{i}") / F.col(f"_{prefix}")) for i in range(bins)]
+    both = F.array(*[F.struct(p.alias("p"), q.alias("q")) for p, q in zip(share("e"), share("b"), strict=True)])
+    terms = F.aggregate(both, F.lit(0.0), lambda acc, x: acc + (x["q"] - x["p"]) * F.log(x["q"] / x["p"]))
+    index, cash, none = F.col("_index"), F.col("cash") / F.nullif("paid", F.lit(0)), F.lit(None).cast("double")
 
     def row(name, metric, value, reference, alert):
         return F.struct(F.lit(name).alias("feature"), F.lit(metric).alias("metric"), value.alias("value"),
@@ -218,6 +220,8 @@ def weekly_drift(df: DataFrame, rolling: DataFrame, feature: str = "Customer_No_
             row("Payment_Method_Cash", "share", cash, F.col("ref_cash"), F.abs(cash - F.col("ref_cash")) > CASH_SHARE_SHIFT),
             row("No_Show_Rate", "rolling_4wk", F.col("rolling_no_show_rate"), F.lit(S.BASELINE_NO_SHOW_PCT / 100.0), F.col("_run"))]
     return (weeks.where(F.col("period") == "current").crossJoin(F.broadcast(base)).join(rate, "week", "left")
+            .withColumns({"_e": total("e"), "_b": total("b")})
+            .withColumn("_index", F.when(F.col("_e").isNotNull() & F.col("_b").isNotNull(), terms))
             .select("week", F.explode(F.array(*rows)).alias("x")).select("week", "x.*"))
 
 
