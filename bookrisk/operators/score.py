@@ -65,22 +65,6 @@ def score_with_flag(df: DataFrame, threshold: float, prob_col: str = "no_show_pr
     return df.withColumn("predicted_no_show", (F.col(prob_col) >= F.lit(threshold)).cast("int"))
 
 
-def ensemble_soft_vote(df: DataFrame, cols: list[str], out: str = "score_ensemble", places: int = 4) -> DataFrame:
-    """Mean of the model probability columns."""
-    mean = sum((F.col(c) for c in cols), F.lit(0.0)) / F.lit(float(len(cols)))
-    return df.withColumn(out, F.bround(mean, places))
-
-
-def score_model(df: DataFrame, model, prob_col: str = "no_show_probability", keep: list[str] | None = None) -> DataFrame:
-    """Score with a fitted MLlib ``PipelineModel`` (the vector layout is part
-    of the pipeline, so train and serve share one feature function)."""
-    from pyspark.ml.functions import vector_to_array
-    out = model.transform(df)
-    p1 = vector_to_array(F.col("probability")).getItem(1)
-    cols = keep if keep is not None else [c for c in df.columns]
-    return out.select(*cols, F.bround(p1, 4).alias(prob_col), risk_level(p1).alias("risk_level"))
-
-
 def prediction_record(df: DataFrame) -> DataFrame:
     """booking_id, no_show_probability, risk_level (the predictor's output)."""
     return df.select(F.col("Booking_ID").alias("booking_id"), "no_show_probability", "risk_level")

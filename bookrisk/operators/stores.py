@@ -141,13 +141,13 @@ def append_outcomes(corpus: DataFrame, recent: DataFrame, key: str = "Booking_ID
 
 
 # ------------------------------------------------------------------ windows
-def customer_score_history(scores: DataFrame, bookings: DataFrame) -> DataFrame:
+def customer_score_history(scores: DataFrame, bookings: DataFrame, **how) -> DataFrame:
     """Scores by (customer, scored_at) with the change from the customer's
     previous score. Skew-safe lag: a hot customer is split into time
     buckets instead of one task."""
     s = scores.join(bookings.select(F.col("Booking_ID").alias("booking_id"), F.col("Customer_ID").alias("customer_id")),
                     "booking_id")
-    out = previous_values(s, "customer_id", "scored_at", "booking_id", ["no_show_probability"])
+    out = previous_values(s, "customer_id", "scored_at", "booking_id", ["no_show_probability"], **how)
     return out.withColumn("change", F.col("no_show_probability") - F.col("prev_no_show_probability"))
 
 

@@ -154,11 +154,8 @@ FROM cs WINDOW w AS (PARTITION BY customer_id ORDER BY scored_at, booking_id)"""
 
 
 def _history(spark, sf, **how):
-    from bookrisk.operators import prefix as P
-    s = risk_scores(spark, sf).join(C.bk(spark, sf).select(F.col("Booking_ID").alias("booking_id"),
-                                                          F.col("Customer_ID").alias("customer_id")), "booking_id")
-    out = P.previous_values(s, "customer_id", "scored_at", "booking_id", ["no_show_probability"], **how)
-    out = out.withColumn("change", F.round(F.col("no_show_probability") - F.col("prev_no_show_probability"), 6))
+    out = ST.customer_score_history(risk_scores(spark, sf), C.bk(spark, sf), **how)
+    out = out.withColumn("change", F.round("change", 6))
     return C.texts(out.select("customer_id", "booking_id", "scored_at", "model_version", "no_show_probability",
                               "prev_no_show_probability", "change"))
 

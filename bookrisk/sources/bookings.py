@@ -85,10 +85,6 @@ def read_bookings_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.BOOKING_RAW).option("header", True).option("mode", "PERMISSIVE").csv(path)
 
 
-def read_bookings_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.BOOKING).parquet(path)
-
-
 def scoring_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scoring-request log from ``events``: latency ms, failed flag, null feature flag."""
     e = table(spark, sf_dir, "events")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from bookrisk.operators.rules import action_record, evaluate
+from bookrisk.operators.rules import evaluate
 from bookrisk.operators.score import score_frozen
 from bookrisk.operators.stores import risk_score_rows
 
@@ -36,13 +36,8 @@ def dedup(stream: DataFrame, key: str = "Booking_ID", ts: str = "Booking_Time",
             .dropDuplicatesWithinWatermark([key]).drop("_event_ts"))
 
 
-def score_and_act(stream: DataFrame) -> DataFrame:
-    """The same functions as the batch path: score -> level -> action record."""
-    return action_record(evaluate(score_frozen(stream)))
-
-
 def score_to_store(stream: DataFrame, model_version: str) -> DataFrame:
-    """``risk_scores`` rows of the arriving bookings."""
+    """``risk_scores`` rows of the arriving bookings, by the functions of the batch path."""
     return risk_score_rows(evaluate(score_frozen(stream)), model_version)
 
 
