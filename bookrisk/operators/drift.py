@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bookrisk.functions.stats import chi2_sf, ks_p_value
 from bookrisk.operators import metrics as M
-from bookrisk.operators.quantiles import quantiles
+from bookrisk.operators.quantiles import in_ranges, quantiles
 from bookrisk.sources import schema as S
 
 # ---------------------------------------------------------------------------
@@ -67,16 +67,11 @@ def psi(df: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
                    F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi")))
     step = (F.col("hi") - F.col("lo")) / float(bins)
     # interior edges lo + i*step (i = 1..bins-1); bin = number of edges <= x
-    edges = F.array(*[F.lit(float(i)) * step + F.col("lo") for i in range(1, bins)])
+    bin_of = sum(((F.lit(float(i)) * step + F.col("lo") <= F.col("x")).cast("int") for i in range(1, bins)), F.lit(0))
     j = long.join(F.broadcast(rng), "feature").where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
-    j = j.withColumn("bin", F.size(F.filter(edges, lambda e: e <= F.col("x"))))
-    counts = j.groupBy("feature", "period", "bin").agg(F.count(F.lit(1)).alias("n"))
-    grid = (rng.select("feature").crossJoin(F.broadcast(
-        counts.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")))))
-    wide = counts.groupBy("feature", "bin").agg(
-        F.sum(F.when(F.col("period") == "reference", F.col("n"))).alias("e"),
-        F.sum(F.when(F.col("period") == "current", F.col("n"))).alias("a"))
-    g = grid.join(wide, ["feature", "bin"], "left").fillna(0, ["e", "a"])
+    # a bin without rows on either side adds nothing: both shares are clipped to the same value
+    g = j.groupBy("feature", bin_of.alias("bin")).agg(
+        F.count_if(F.col("period") == "reference").alias("e"), F.count_if(F.col("period") == "current").alias("a"))
     w = Window.partitionBy("feature")  # bins rows per feature
     g = g.withColumns({"ep": F.col("e") / F.nullif(F.sum("e").over(w), F.lit(0)), "ap": F.col("a") / F.nullif(F.sum("a").over(w), F.lit(0))})
     g = g.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(PSI_CLIP), F.col(c))) for c in ("ep", "ap")})
@@ -92,16 +87,22 @@ def psi_status(p: Column) -> Column:
 # ------------------------------------------------------------------ KS / chi-square / z
 def ks_two_sample(df: DataFrame, feature: str) -> DataFrame:
     """Two-sample KS statistic between periods and its asymptotic p-value.
-    Counts per distinct value first; the running shares run over that
-    per-value table (bounded by the number of distinct values, e.g. lead
-    days; round a continuous feature to a grid before calling)."""
+    Counts per distinct value first; the running shares add up on two levels,
+    inside ranges of values and over the totals of the ranges, so that a
+    continuous feature spreads over many tasks. Without rows on a side the
+    statistic is null."""
     c = (df.where(F.col(feature).isNotNull()).groupBy(F.col(feature).cast("double").alias("v"))
          .agg(F.count_if(F.col("period") == "reference").alias("r"), F.count_if(F.col("period") == "current").alias("c")))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    wall = Window.partitionBy()
-    c = c.withColumns({"cr": F.sum("r").over(w), "cc": F.sum("c").over(w),
-                       "nr": F.sum("r").over(wall), "nc": F.sum("c").over(wall)})
-    d = c.agg(F.max(F.abs(F.col("cr") / F.col("nr") - F.col("cc") / F.col("nc"))).alias("d"),
+    c = in_ranges(c, "v")
+    earlier = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    every = Window.partitionBy(F.lit(0))
+    before = c.groupBy("_r").agg(F.sum("r").alias("rr"), F.sum("c").alias("rc")).select(
+        F.col("_r").alias("_gr"), *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"_b{s}") for s in ("rr", "rc")],
+        F.nullif(F.sum("rr").over(every), F.lit(0)).alias("nr"), F.nullif(F.sum("rc").over(every), F.lit(0)).alias("nc"))
+    inside = Window.partitionBy("_r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    c = (c.withColumns({"cr": F.sum("r").over(inside), "cc": F.sum("c").over(inside)})
+         .join(before, F.col("_r") == F.col("_gr")))
+    d = c.agg(F.max(F.abs((F.col("_brr") + F.col("cr")) / F.col("nr") - (F.col("_brc") + F.col("cc")) / F.col("nc"))).alias("d"),
               F.first("nr").alias("n1"), F.first("nc").alias("n2"))
     p = ks_p_value(F.col("d"), F.col("n1").cast("double"), F.col("n2").cast("double"))
     return d.select(F.lit(feature).alias("feature"), "d", p.alias("p_value"), (p < P_ALERT).cast("int").alias("alert"))
@@ -231,10 +232,7 @@ def weekly_performance(scored: DataFrame, threshold: float) -> DataFrame:
     a status against the stated target and alert levels."""
     wk = F.date_trunc("week", F.col("Appointment_Time").cast("timestamp")).cast("date")
     s = scored.select(wk.alias("week"), F.col("no_show_probability").alias("score"), F.col("No_Show").alias("label"))
-    conf = M.confusion(s, threshold, by=["week"])
-    auc = M.roc_auc(s, by=["week"])
-    bri = M.brier(s, by=["week"])
-    m = conf.join(auc, "week").join(bri, "week")
+    m = M.confusion_with_auc(s, threshold, by=["week"]).join(M.brier(s, by=["week"]), "week")
     long = m.select("week", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value"))
                                                 for k in WEEKLY_TARGETS])).alias("x")).select("week", "x.*")
     tgt = long.sparkSession.createDataFrame([(k, t, a, hb) for k, (t, a, hb) in WEEKLY_TARGETS.items()],
@@ -304,9 +302,8 @@ def ab_by_version(scores: DataFrame, labels: DataFrame, threshold: float = 0.5)
     """Metrics per model_version of the stored scores joined to outcomes."""
     s = scores.join(labels, "booking_id").select("model_version", F.col("no_show_probability").alias("score"),
                                                  F.col("No_Show").alias("label"))
-    conf = M.confusion(s, threshold, by=["model_version"])
-    return conf.join(M.roc_auc(s, by=["model_version"]), "model_version").join(
-        M.brier(s, by=["model_version"]), "model_version")
+    by = ["model_version"]
+    return M.confusion_with_auc(s, threshold, by).join(M.brier(s, by), by)
 
 
 # ------------------------------------------------------------------ KPIs
@@ -332,13 +329,15 @@ def kpi_deposit_rate(actions: DataFrame, log: DataFrame) -> DataFrame:
 
 def kpi_deposit_churn(actions: DataFrame) -> DataFrame:
     """Share of deposit-requested bookings whose customer books nothing later.
-    The customer's last appointment is a grouped max (no per-customer sort)."""
-    last = actions.groupBy("Customer_ID").agg(F.max("Appointment_Time").alias("_last"))
-    req = actions.where(F.col("action_type").isin(S.DEPOSIT_ACTIONS)).select("Customer_ID", "Appointment_Time")
-    j = req.join(last, "Customer_ID")
-    return j.agg(F.count(F.lit(1)).cast("bigint").alias("requested"),
-                 F.count_if(F.col("Appointment_Time") >= F.col("_last")).cast("bigint").alias("churned")) \
-        .withColumn("churn_rate", F.col("churned") / F.col("requested"))
+    Requests are counted per (customer, appointment), then per customer in all
+    and at the last appointment: grouped sums with partial aggregation, no join
+    and no sort, so a customer with many rows needs no task of its own."""
+    asked = F.count_if(F.col("action_type").isin(S.DEPOSIT_ACTIONS))
+    at = actions.where(F.col("Customer_ID").isNotNull()).groupBy("Customer_ID", "Appointment_Time").agg(asked.alias("n"))
+    per = at.groupBy("Customer_ID").agg(F.sum("n").alias("n"), F.max_by("n", "Appointment_Time").alias("last"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("requested"),
+                   F.coalesce(F.sum("last"), F.lit(0)).cast("bigint").alias("churned")) \
+        .withColumn("churn_rate", F.col("churned") / F.nullif("requested", F.lit(0)))
 
 
 # ------------------------------------------------------------------ operations

@@ -159,6 +159,11 @@ def split_xy(df: DataFrame, drop: list[str] = S.DROP_FOR_X, key: str = "Booking_
     return x, y
 
 
+def matrix(df: DataFrame, drop: list[str] = S.DROP_FOR_X, key: str = "Booking_ID") -> DataFrame:
+    """X and y of ``split_xy`` side by side, in one projection of ``df``."""
+    return df.select(*[c for c in df.columns if c == key or c not in (*drop, "No_Show")], "No_Show")
+
+
 def prune(df: DataFrame, keep: list[str] = S.PRUNED) -> DataFrame:
     """Keep the pruned feature list (plus key and label if present)."""
     extra = [c for c in ("Booking_ID", "No_Show") if c in df.columns]

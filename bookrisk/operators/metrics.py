@@ -146,6 +146,21 @@ def roc_auc(df: DataFrame, by: list[str] = ("model",)) -> DataFrame:
         F.when((F.first("P") > 0) & (F.first("N") > 0), F.sum(pair) / (F.first("P") * F.first("N"))).alias("auc"))
 
 
+def confusion_with_auc(df: DataFrame, threshold: Column | float = 0.5, by: list[str] = ("model",)) -> DataFrame:
+    """``confusion`` and ``roc_auc`` from one grouped table, so one pass over ``df``."""
+    t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    hit, pos = F.col("score") >= t, F.col("label") == 1
+    counts = df.groupBy(*by, F.bround(F.col("score"), SCORE_PLACES).alias("score")).agg(
+        F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg"),
+        F.count_if(hit & pos).alias("hit_pos"), F.count_if(hit & ~pos).alias("hit_neg"),
+        F.count_if(~hit & pos).alias("miss_pos"), F.count_if(~hit & ~pos).alias("miss_neg"))
+    pair = F.col("neg") * ((F.col("tp") - F.col("pos")) + F.col("pos") / 2.0)
+    g = cumulative(counts, by).groupBy(*by).agg(
+        *[F.sum(c).cast("bigint").alias(k) for k, c in (("tp", "hit_pos"), ("fp", "hit_neg"), ("tn", "miss_neg"), ("fn", "miss_pos"))],
+        F.when((F.first("P") > 0) & (F.first("N") > 0), F.sum(pair) / (F.first("P") * F.first("N"))).alias("auc"))
+    return with_rates(g)
+
+
 def roc_curve(df: DataFrame, by: list[str] = ("model",)) -> DataFrame:
     """(fpr, tpr) at every distinct score, plus the origin (threshold null)."""
     c = cumulative(score_counts(df, by), by)
@@ -199,7 +214,7 @@ def calibration_bins(df: DataFrame, bins: int = 10, by: list[str] = ("model",))
 def model_compare(test: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Metrics per model at a fixed threshold plus AUC; ``is_best`` marks the
     highest AUC (the first model in listing order on ties)."""
-    m = confusion(test, threshold).join(roc_auc(test), "model")
+    m = confusion_with_auc(test, threshold)
     w = Window.orderBy(F.col("auc").desc(), model_rank(F.col("model")))  # one row per model
     return m.withColumn("is_best", (F.row_number().over(w) == 1).cast("int")).withColumn("auc", F.bround("auc", 4))
 
@@ -209,7 +224,7 @@ def tuned_table(val: DataFrame, test: DataFrame) -> DataFrame:
     test at that threshold; ``is_best`` marks the highest test F1."""
     thr = threshold_max_f1(pr_curve(val)).select("model", F.col("threshold").alias("tuned_threshold"))
     j = test.join(F.broadcast(thr), "model")  # one row per model
-    m = confusion(j, F.col("tuned_threshold"), by=["model", "tuned_threshold"]).join(roc_auc(test), "model")
+    m = confusion_with_auc(j, F.col("tuned_threshold"), by=["model", "tuned_threshold"])
     w = Window.orderBy(F.col("f1").desc(), model_rank(F.col("model")))
     return m.withColumn("is_best", (F.row_number().over(w) == 1).cast("int")).withColumn("auc", F.bround("auc", 4))
 

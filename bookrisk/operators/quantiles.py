@@ -14,20 +14,24 @@ from pyspark.sql import functions as F
 from bookrisk.session import ensure_checkpoint_dir
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], ranges: int | None = None) -> DataFrame:
-    """One row per group of ``by`` (null groups included) with a double column
-    per entry of ``probs``: the quantile of the non-null values, linear between
-    the two neighbouring ranks. Groups without a value give no row.
-
+def in_ranges(counts: DataFrame, *by: str, ranges: int | None = None) -> DataFrame:
+    """``counts`` dealt out by ranges of ``by``, their number in ``_r``.
     ``ranges`` (by default the session's shuffle partitions) sets the size of
     a task, not the result. The ranges come from a sample, so they are fixed
     by a reliable checkpoint before both levels read them."""
-    spark = df.sparkSession
+    spark = counts.sparkSession
     ensure_checkpoint_dir(spark)
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return counts.repartitionByRange(ranges, *by).withColumn("_r", F.spark_partition_id()).checkpoint()
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], ranges: int | None = None) -> DataFrame:
+    """One row per group of ``by`` (null groups included) with a double column
+    per entry of ``probs``: the quantile of the non-null values, linear between
+    the two neighbouring ranks. Groups without a value give no row."""
     counts = (df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
-              .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-              .repartitionByRange(ranges, *by, "_v").withColumn("_r", F.spark_partition_id()).checkpoint())
+              .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    counts = in_ranges(counts, *by, "_v", ranges=ranges)
     totals = counts.groupBy(*by, "_r").agg(F.sum("_n").alias("_rn"))
     group = Window.partitionBy(*by)
     offsets = totals.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_r").alias("_gr"),

@@ -126,7 +126,7 @@ def evaluate_model(name: str, scored: DataFrame, threshold: float = 0.5) -> Data
     """One row of test metrics for a scored test set."""
     s = scored.select(F.lit(name).alias("model"), F.col("no_show_probability").alias("score"),
                       F.col("No_Show").alias("label"))
-    return M.confusion(s, threshold).join(M.roc_auc(s), "model")
+    return M.confusion_with_auc(s, threshold)
 
 
 def save(model: PipelineModel, path: str) -> None:

@@ -58,9 +58,7 @@ def scan_bookings_csv(spark, sf):
 def scan_feature_matrix(spark, sf):
     """Feature matrix and label in one table keyed by Booking_ID (no positional pairing)."""
     path = C.scratch_path(spark, "features")
-    feats = FE.build_features(C.bk(spark, sf))
-    x, y = FE.split_xy(feats)
-    x.join(y, "Booking_ID").write.mode("overwrite").parquet(path)
+    FE.matrix(FE.build_features(C.bk(spark, sf))).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -234,7 +232,7 @@ query("feat_build_inference", with_("ft") + f"SELECT {sel_text(_INF_COLS)}, {_OH
 
 _X_COLS = ["Customer_Latent_Risk"] + S.ENGINEERED
 query("feat_split_xy", with_("ft") + f"SELECT Booking_ID, {', '.join(_X_COLS)}, {_OHE_SQL}, No_Show FROM ft")(
-    lambda spark, sf: (lambda xy: xy[0].join(xy[1], "Booking_ID"))(FE.split_xy(FE.build_features(C.bk(spark, sf)))))
+    lambda spark, sf: FE.matrix(FE.build_features(C.bk(spark, sf))))
 
 query("feat_prune", with_("ft") + "SELECT Booking_ID, No_Show, " + ", ".join(
     f'"{c}"' if c not in ("Service_Type_Hair Coloring", "Payment_Method_Cash", "Payment_Method_UPI") else
@@ -245,10 +243,8 @@ query("feat_prune", with_("ft") + "SELECT Booking_ID, No_Show, " + ", ".join(
 
 def feat_run(spark, sf):
     """Build, split, save X / y; returns X joined to y."""
-    feats = FE.build_features(C.bk(spark, sf))
-    x, y = FE.split_xy(feats)
     path = C.scratch_path(spark, "xy")
-    x.join(y, "Booking_ID").write.mode("overwrite").parquet(path)
+    FE.matrix(FE.build_features(C.bk(spark, sf))).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

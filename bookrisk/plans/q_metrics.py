@@ -126,8 +126,7 @@ query("ensemble_soft_vote", W + "SELECT Booking_ID, score_lr, score_rf, score_xg
 query("metrics_at_threshold", W + f"""
 SELECT c.*, round_even(a.auc, 4) AS auc FROM {CM("(SELECT * FROM lg WHERE split = 'test')", "0.5")} c
 JOIN auc a ON a.model = c.model AND a.split = 'test'""")(
-    lambda spark, sf: (lambda t: M.confusion(t, 0.5).join(M.roc_auc(t).withColumn("auc", F.bround("auc", 4)), "model"))(
-        part(spark, sf, "test")))
+    lambda spark, sf: M.confusion_with_auc(part(spark, sf, "test"), 0.5).withColumn("auc", F.bround("auc", 4)))
 
 query("roc_auc", W + "SELECT model, split, round(auc, 6) AS auc FROM auc")(
     lambda spark, sf: r6(M.roc_auc(long(spark, sf), by=["model", "split"])))
