@@ -12,11 +12,14 @@ logistic function of the weight found per word of text and of the number of
 hits, so that long texts are not toxic by length alone.
 
 Training reads a bounded sample of labelled rows (``per_class``
-toxic and twice as many others): the weight of an entry is its smoothed log odds between toxic and
-other documents, kept from ``min_docs`` toxic documents and ``min_weight``
-on, at most ``max_entries``; an exception is a two-word phrase around an
-entry that occurs in ``min_docs`` other documents and in no toxic one. A few
-general words start with a prior, so that the operator also works without
+toxic and twice as many others): the weight of an entry is the lower bound
+(one-sided, ``z`` standard errors) of its smoothed log odds between toxic and
+other documents, so that a rare word needs no clean occurrence and a frequent
+one may have some. Entries are kept from ``min_docs`` toxic documents and
+``min_weight`` on, at most ``max_entries`` of the heaviest; the logistic then
+weighs them. An exception is a two-word phrase around an entry that occurs in
+``clean_docs`` other documents and in no toxic one. A few general words start
+with the weight ``PRIOR_WEIGHT``, so that the operator also works without
 labels.
 
 Defined results: null, empty or wordless text has no hit and the score of a
@@ -40,11 +43,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookrisk.llm.common import WORD_SPACE, let, text_slices, uniform
+from bookrisk.llm.common import WORD_SPACE, durable, let, text_slices, uniform
 
 # ---- fixed values: words with a prior, look-alike letters, digit substitutions
 PRIOR_WORDS = ("bastard", "disgusting", "dumbass", "idiot", "imbecile", "loser", "moron", "pathetic", "scum",
                "stupid", "worthless")
+PRIOR_WEIGHT = 4.4
 HOMOGLYPHS = {"а": "a", "в": "b", "е": "e", "з": "3", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o",
               "р": "p", "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w",
               "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t",
@@ -173,8 +177,16 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, tex
             .dropDuplicates(["copy", "toxic"]).select("text", "toxic"))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, min_docs: int = 8, min_weight: float = 4.4,
-          max_entries: int = 20000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def bounded_weight(t: int, n: int, toxic: int, other: int, z: float) -> tuple[float, float]:
+    """Smoothed log odds of a term in t of the toxic and n of the other
+    documents, and their lower bound."""
+    odds = np.log((t + 0.5) / (toxic + 1)) - np.log((n + 0.5) / (other + 1))
+    return float(odds), float(odds - z * np.sqrt(1 / (t + 0.5) + 1 / (n + 0.5)))
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, min_docs: int = 3, min_weight: float = 1.7,
+          max_entries: int = 20000, z: float = 1.645, clean_docs: int = 8, id_col: str = "doc_id", text_col: str = "text",
+          label_col: str = "toxic") -> Model:
     """Lexicon, exceptions and logistic from a bounded labelled sample."""
     sample = _sample(docs, labels, per_class, id_col, text_col, label_col)
 
@@ -192,16 +204,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, min_docs: i
                 yield pa.record_batch([pa.array(x) for x in zip(*out, strict=True)], names=["term", "t", "n"])
         return sample.mapInArrow(run, "term string, t long, n long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
 
-    total = counted(entries_of)
-    kept = total.where(f"term = '' or t >= {min_docs}")
-    kept = kept.orderBy((F.col("term") != "").cast("int"), F.desc(F.col("t") / (F.col("n") + 1.0)), "term").limit(max_entries + 1).collect()
-    size = next(((r["t"], r["n"]) for r in kept if r["term"] == ""), (0, 0))
-    entries = {f" {w} ": min_weight for w in PRIOR_WORDS}
-    for r in kept:
-        weight = np.log((r["t"] + 0.5) / (size[0] + 1)) - np.log((r["n"] + 0.5) / (size[1] + 1))
-        if r["term"] and weight >= min_weight:
-            entries[r["term"]] = float(weight)
-        elif r["term"] and weight < 0:
+    words = [f" {w} " for w in PRIOR_WORDS]
+    total = durable(counted(entries_of).where((F.col("term") == "") | (F.col("t") >= min_docs) | F.col("term").isin(words)))
+    size = next(((r["t"], r["n"]) for r in total.where("term = ''").collect()), (0, 0))
+    t, n = F.col("t") + 0.5, F.col("n") + 0.5
+    lower = F.log(t / (size[0] + 1)) - F.log(n / (size[1] + 1)) - z * F.sqrt(1 / t + 1 / n)
+    kept = total.where(F.col("term") != "").where((lower >= min_weight) | F.col("term").isin(words))
+    entries = dict.fromkeys(words, PRIOR_WEIGHT)
+    for r in kept.orderBy(F.desc(lower), "term").limit(max_entries).collect():
+        odds, weight = bounded_weight(r["t"], r["n"], *size, z)
+        if r["t"] >= min_docs and weight >= min_weight:
+            entries[r["term"]] = weight
+        elif odds < 0:
             entries.pop(r["term"], None)
     model = Model(entries)
     if not size[0] or not size[1]:
@@ -217,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, min_docs: i
             out |= {folded[before:word_end + 1]} if before >= 0 else set()
         return out
 
-    spared = counted(phrases).where(f"term != '' and n >= {min_docs} and t = 0").orderBy(F.desc("n"), "term").limit(max_entries).collect()
+    spared = counted(phrases).where(f"term != '' and n >= {clean_docs} and t = 0").orderBy(F.desc("n"), "term").limit(max_entries).collect()
     model = Model(entries, [r["term"] for r in spared])
 
     def features(batches):

@@ -208,6 +208,20 @@ def test_toxicity(spark):
     assert not spared.hits(toxicity.fold("the trash can")) and spared.hits(toxicity.fold("you trash, go"))
 
 
+def test_toxicity_learns_rare_markers(spark):
+    from bookrisk.llm import toxicity
+    clean = texts(400, 61)
+    def with_word(t, word):
+        return " ".join([*t.split()[:15], word, *t.split()[15:]])
+    bad = [with_word(t, "zorkal") for t in texts(40, 62)] + [with_word(t, "qwyxre") for t in texts(6, 63)] + [with_word(t, "vuzzich") for t in texts(13, 64)]
+    rows = list(enumerate([with_word(clean[0], "vuzzich"), *clean[1:]])) + [(1000 + i, t) for i, t in enumerate(bad)]
+    labels = spark.createDataFrame([(i, int(i >= 1000)) for i, _ in rows], "doc_id long, toxic int")
+    unseen = [(5000 + i, with_word(t, w)) for i, (t, w) in enumerate(zip(texts(4, 65), ("qwyxre", "vuzzich") * 2, strict=True))]
+    model = toxicity.train(docs_of(spark, rows), labels)
+    assert {" qwyxre ", " vuzzich "} <= set(model.entries)  # 6 toxic and no clean row, 13 and one
+    assert all(x["predicted"] for x in toxicity.score(docs_of(spark, unseen), model).collect())
+
+
 # ------------------------------------------------------------------ mixing
 def test_mixing_totals_and_limits(spark):
     from bookrisk.llm.mixing import mix, sized
