@@ -1,8 +1,12 @@
 """Main text of web pages with removal of site templates.
 
 A page is parsed into elements. Marked-up page furniture goes by its tag,
-role or class (menus, headers, footers, sidebars, notices, adverts, forms,
-comments, scripts, styles). What is left of a site's template is found by
+role or a whole class name or id (menus, headers, footers, sidebars, notices,
+adverts, forms, comments, scripts, styles). A class, id or form tag does not
+make furniture of an ``article``, a ``main``, what holds one of them or an
+``h1``, or what holds more than half of the page's text (unless a ``main`` or
+an ``article`` with an ``h1`` stands elsewhere, as by a short page with a long
+advert). What is left of a site's template is found by
 recurrence: every element subtree is hashed (tag, text and children), the
 pages of a host that hold a subtree are counted in Spark, and subtrees on
 ``min_pages`` or more pages of the host are deleted. Content may recur too
@@ -10,8 +14,9 @@ pages of a host that hold a subtree are counted in Spark, and subtrees on
 a heading of the page, is a paragraph-like block, or has more than half of
 the page's text.
 
-If a page has ``article`` elements (else ``main``), only they are read; else
-the whole body. Character references are decoded, white space inside a block
+If ``article`` elements hold more than half of the page's text, only they
+are read; else the ``main`` elements that have text (of these again only the
+articles, if they hold more than half); else the whole body. Character references are decoded, white space inside a block
 becomes one space, blocks are trimmed and joined by line feeds.
 
 Defined results: null or empty html gives an empty text; cut-off or unclosed
@@ -55,30 +60,60 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
-_PART = re.compile(r"[^a-z0-9]+")
 
 
 @dataclass
 class Node:
     tag: str
     furniture: bool = False
+    maybe: bool = False  # furniture by class, id or form tag
     kids: list = field(default_factory=list)  # Node or str
 
 
-def _is_furniture(tag: str, attrs: str, inside: bool) -> bool:
-    if tag in FURNITURE or (tag == "header" and not inside):
-        return True
+def _furniture(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether it may be by its names."""
+    if tag != "form" and (tag in FURNITURE or (tag == "header" and not inside)):
+        return True, False
+    maybe = tag == "form"
     if tag == "main":
-        return False
+        return False, False
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
-            return True
-        if name in ("class", "id") and any(
-                part in NAMES and not (part == "header" and inside)
-                for word in value.split() for part in {word, *_PART.split(word)}):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id") and tag != "article" and any(
+                word in NAMES and not (word == "header" and inside) for word in value.split()):
+            maybe = True
+    return False, maybe
+
+
+def _settle(root: Node) -> None:
+    """Makes furniture of the elements that may be, but for those that hold
+    the content."""
+    order, todo, some, marked = [], [root], False, False
+    while todo:
+        node = todo.pop()
+        if not node.furniture:
+            order.append(node)
+            some = some or node.maybe
+            todo += [k for k in node.kids if isinstance(k, Node)]
+    if not some:
+        return
+    info: dict[int, tuple[int, bool, bool]] = {}  # characters, holds an article, main or h1; holds an h1
+    for node in reversed(order):
+        size, holds, title = 0, node.tag in ("article", "main", "h1"), node.tag == "h1"
+        for k in node.kids:
+            if isinstance(k, str):
+                size += len(k.strip())
+            elif id(k) in info:
+                n, has, h1 = info[id(k)]
+                size, holds, title = size + n, holds or has, title or h1
+        info[id(node)] = (size, holds, title)
+        marked = marked or (size > 0 and (node.tag == "main" or (node.tag == "article" and title)))
+    total = info[id(root)][0]
+    for node in order:
+        size, holds, _ = info[id(node)]
+        node.furniture = node.maybe and not holds and (marked or 2 * size <= total)
 
 
 def parse(page: str | None) -> Node:
@@ -137,7 +172,7 @@ def parse(page: str | None) -> Node:
                     break
         if tag in ("html", "body"):
             continue
-        node = Node(tag, _is_furniture(tag, attrs, inside > 0))
+        node = Node(tag, *_furniture(tag, attrs, inside > 0))
         stack[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(text, at)
@@ -147,6 +182,7 @@ def parse(page: str | None) -> Node:
         elif tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK):
             stack.append(node)
             inside += tag in ("article", "main")
+    _settle(root)
     return root
 
 
@@ -164,8 +200,27 @@ def _regions(root: Node, tag: str) -> list[Node]:
     return out
 
 
+def _size(regions: list[Node]) -> int:
+    """Characters of text outside furniture."""
+    size, todo = 0, list(regions)
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            size += len(x.strip())
+        elif not x.furniture:
+            todo += x.kids
+    return size
+
+
 def main_regions(root: Node) -> list[Node]:
-    return _regions(root, "article") or _regions(root, "main") or [root]
+    whole, mains = [root], _regions(root, "main")
+    articles = _regions(root, "article")
+    if articles and 2 * _size(articles) > _size(whole):
+        return articles
+    if not mains or not (size := _size(mains)):
+        return whole
+    articles = [a for m in mains for a in _regions(m, "article")]
+    return articles if 2 * _size(articles) > size else mains
 
 
 def _clean(text: str) -> str:

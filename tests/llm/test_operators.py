@@ -330,6 +330,18 @@ def test_main_text(spark):
     assert (got[200]["text"], got[201]["n_chars"], got[None]["text"]) == ("", 0, "z") and main_text(df.limit(0)).count() == 0
 
 
+def test_main_text_keeps_content_with_furniture_names():
+    from bookrisk.llm.html import extract
+    body = " ".join(texts(1, 71, 60))
+    for page in (f"<article class='post has-sidebar'><p>{body}</article>", f"<article class='comments-open tag-x share-y sidebar'><p>{body}</article>",
+                 f"<div id='content-no-sidebar'><p>{body}</div>", f"<form id=aspnetForm><div><p>{body}</div></form>", f"<div class=widget><p>{body}</div>",
+                 f"<form><main><p>{body}</main><div>menu</div></form>", f"<div class=share>x</div><div><p>{body}</div><form><p>Your mail</form>"):
+        assert extract(page) == body, page
+    cards = "<article>card one</article><article>card two</article>"
+    assert extract(f"<div><p>{body}</div>{cards}") == f"{body}\ncard one\ncard two"
+    assert extract(f"<main><p>{body}{cards}</main><p>out") == f"{body}\ncard one\ncard two"
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     import corpus_pipeline as P
