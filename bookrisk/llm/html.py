@@ -8,11 +8,13 @@ make furniture of an ``article``, a ``main``, what holds one of them or an
 an ``article`` with an ``h1`` stands elsewhere, as by a short page with a long
 advert). What is left of a site's template is found by
 recurrence: every element subtree is hashed (tag, text and children), the
-pages of a host that hold a subtree are counted in Spark, and subtrees on
-``min_pages`` or more pages of the host are deleted. Content may recur too
-(mirrored articles, quoted passages), so a subtree is not deleted if it holds
-a heading of the page, is a paragraph-like block, or has more than half of
-the page's text.
+different main texts of a host that hold a subtree are counted in Spark
+(copies of a page count once), and subtrees on ``min_pages`` or more and at
+least ``share`` of the host's different pages are deleted, the most frequent
+ones first and as long as not more than half of a page's text goes. Content
+may recur too (mirrored articles, quoted passages), so a subtree is not
+deleted if it holds a heading of the page, is a paragraph-like block, or has
+more than half of the page's text.
 
 If ``article`` elements hold more than half of the page's text, only they
 are read; else the ``main`` elements that have text (of these again only the
@@ -21,7 +23,7 @@ becomes one space, blocks are trimmed and joined by line feeds.
 
 Defined results: null or empty html gives an empty text; cut-off or unclosed
 markup is read as far as it goes; a null or odd url is the host ""; repeated
-rows get equal rows and count as pages of their own; an empty table gives an
+rows get equal rows; an empty table gives an
 empty result; other input columns are ignored.
 """
 
@@ -36,9 +38,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookrisk.llm.common import text_slices
+from bookrisk.llm.common import durable, text_slices
 
 MIN_PAGES = 20
+#: Template is on this share of a host's different pages at least.
+SHARE = 0.25
 # ---- fixed values: HTML element classes, names by which sites mark furniture
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -227,11 +231,10 @@ def _clean(text: str) -> str:
     return _SPACE.sub(" ", html.unescape(text))
 
 
-def blocks(regions: list[Node], removed: set[int] | None = None) -> list[str]:
+def blocks(regions: list[Node], removed: dict[int, int] | None = None) -> list[str]:
     """The text blocks of the regions in page order, without furniture and
-    without subtrees whose hash is in ``removed``."""
-    hashes = subtree_hashes(regions) if removed else {}
-    gone = {n for n, (h, may) in hashes.items() if may and h in removed}
+    without the template among the subtrees of ``removed``."""
+    gone = _template(regions, removed) if removed else set()
     out, now = [], []
 
     def flush():
@@ -258,14 +261,21 @@ def blocks(regions: list[Node], removed: set[int] | None = None) -> list[str]:
     return out
 
 
-def subtree_hashes(regions: list[Node]) -> dict[int, tuple[int, bool]]:
-    """By node: hash of its subtree and whether it may be template at all."""
-    order, todo = [], list(regions)
+def _nodes(regions: list[Node]) -> list[Node]:
+    """The elements outside furniture, each before its children."""
+    order, todo = [], list(reversed(regions))
     while todo:
         node = todo.pop()
         if not node.furniture:
             order.append(node)
-            todo += [k for k in node.kids if isinstance(k, Node)]
+            todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
+    return order
+
+
+def subtree_hashes(regions: list[Node]) -> dict[int, tuple[int, bool, int]]:
+    """By node: hash of its subtree, whether it may be template at all, and
+    its characters."""
+    order = _nodes(regions)
     info: dict[int, tuple[int, int, bool]] = {}  # hash, characters, holds a heading
     for node in reversed(order):
         parts, size, heading = [node.tag], 0, node.tag in ("h1", "h2")
@@ -281,42 +291,69 @@ def subtree_hashes(regions: list[Node]) -> dict[int, tuple[int, bool]]:
         info[id(node)] = (xxhash.xxh64_intdigest("\1".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63), size, heading)
     total = sum(info[id(r)][1] for r in regions)
     tops = {id(r) for r in regions}
-    return {id(n): (h, bool(n.tag not in PLAIN and n.tag in BLOCK and id(n) not in tops and not has and 0 < size and 2 * size <= total))
+    return {id(n): (h, bool(n.tag not in PLAIN and n.tag in BLOCK and id(n) not in tops and not has and 0 < size and 2 * size <= total), size)
             for n in order for h, size, has in [info[id(n)]]}
 
 
-def candidates(page: str | None) -> list[int]:
-    """Distinct hashes of the subtrees of a page that may be template."""
-    return sorted({h for h, may in subtree_hashes(main_regions(parse(page))).values() if may})
+def candidates(page: str | None) -> tuple[int, list[int]]:
+    """Hash of a page's main region, and the distinct hashes of its subtrees
+    that may be template."""
+    regions = main_regions(parse(page))
+    info = subtree_hashes(regions)
+    main = xxhash.xxh64_intdigest(",".join(str(info[id(r)][0]) for r in regions)) - (1 << 63)
+    return main, sorted({h for h, may, _ in info.values() if may})
+
+
+def _template(regions: list[Node], removed: dict[int, int]) -> set[int]:
+    """The nodes to delete: subtrees by their number of pages, as long as not
+    more than half of the text goes. Near copies of a page share most of it;
+    what is on more pages than they are is template."""
+    info = subtree_hashes(regions)
+    at = {id(n): n for n in _nodes(regions)}
+    total = sum(info[id(r)][2] for r in regions)
+    gone: set[int] = set()
+    for level in sorted(set(removed.values()), reverse=True):
+        more = {n for n, (h, may, _) in info.items() if may and removed.get(h, 0) >= level}
+        inner = {id(k) for n in more for k in _nodes([at[n]])[1:]}
+        if 2 * sum(info[n][2] for n in more - inner) > total:
+            break
+        gone = more
+    return gone
 
 
-def extract(page: str | None, removed: set[int] | None = None) -> str:
+def extract(page: str | None, removed: dict[int, int] | None = None) -> str:
+    """Text of a page without the subtrees of ``removed`` (hash -> pages)."""
     return "\n".join(blocks(main_regions(parse(page)), removed))
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url",
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, id_col: str = "page_id", url_col: str = "url",
               html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars), one row per input row."""
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    src = src.withColumns({"host": host, "k": F.xxhash64("url", "html")})
+    src = src.withColumns({"host": F.xxhash64(host), "k": F.xxhash64("url", "html")})
 
     def hashed(batches):
         for b in batches:
             found = [candidates(t) for part in text_slices(b.column(2)) for t in part]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["host", "k", "hashes"])
-    # rows (host, k, h) of pages with candidate subtrees; a hot host or a hot page text spreads over its hashes
-    seen = (src.select("host", "k", "html").mapInArrow(hashed, "host string, k long, hashes array<long>")
-            .select("host", "k", F.explode("hashes").alias("h")))
-    counted = seen.groupBy("host", "k", "h").agg(F.count(F.lit(1)).alias("n"))
-    common = counted.groupBy("host", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages).select("host", "h")
-    gone = counted.select("host", "k", "h").join(common, ["host", "h"]).groupBy("k").agg(F.collect_set("h").alias("gone"))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([m for m, _ in found], pa.int64()),
+                                   pa.array([h for _, h in found], pa.list_(pa.int64()))], names=["host", "k", "main", "hashes"])
+    # one row per page; a subtree h of a host is the key h ^ host
+    seen = durable(src.select("host", "k", "html").mapInArrow(hashed, "host long, k long, main long, hashes array<long>"))
+    # every main text of a host once, so that copies of a page do not make its parts template
+    distinct = seen.groupBy("host", "main").agg(F.first("hashes").alias("hashes"))
+    key = F.col("host").bitwiseXOR(F.col("h")).alias("g")
+    held = distinct.select("host", F.explode("hashes").alias("h")).groupBy("host", key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    sizes = seen.select("host", "main").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    common = durable(held.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).select("g", "n"))
+    gone = (seen.select("k", "host", F.explode("hashes").alias("h")).select("k", "h", key).join(common, "g")
+            .groupBy("k").agg(F.collect_set(F.struct("n", "h")).alias("gone")))
 
     def texts(batches):
         for b in batches:
             out, gone = [], b.column(3).to_pylist()
             for i, page in enumerate(t for part in text_slices(b.column(2)) for t in part):
-                out.append(extract(page, set(gone[i] or ())))
+                out.append(extract(page, {x["h"]: x["n"] for x in gone[i] or ()}))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                                   names=["page_id", "url", "text", "n_chars"])
     kind = dict(src.dtypes)["page_id"]

@@ -342,6 +342,18 @@ def test_main_text_keeps_content_with_furniture_names():
     assert extract(f"<main><p>{body}{cards}</main><p>out") == f"{body}\ncard one\ncard two"
 
 
+def test_main_text_counts_different_pages(spark):
+    from bookrisk.llm.html import main_text
+    body = texts(130, 72, 80)
+    copied = f"<article><p>{body[0]}</p><ul><li>{body[1][:40]}</ul></article>"
+    rows = [(i, f"http://copies.example/{i}", copied) for i in range(40)]
+    quoted = f"<table><tr><td>{body[129][:30]}</table>"  # on 22 of 129 different pages
+    rows += [(100 + i, f"http://wide.example/{i}", f"<article><p>{t}</p>{quoted if i < 22 else ''}<div>Read our paper</div></article>") for i, t in enumerate(body[:129])]
+    got = {x["page_id"]: x["text"] for x in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == f"{body[0]}\n{body[1][:40].strip()}"
+    assert got[105] == f"{body[5]}\n{body[129][:30].strip()}" and got[200] == body[100]
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     import corpus_pipeline as P
