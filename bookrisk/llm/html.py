@@ -11,10 +11,14 @@ recurrence: every element subtree is hashed (tag, text and children), the
 different main texts of a host that hold a subtree are counted in Spark
 (copies of a page count once), and subtrees on ``min_pages`` or more and at
 least ``share`` of the host's different pages are deleted, the most frequent
-ones first and as long as not more than half of a page's text goes. Content
+ones first and as long as not more than half of a page's text recurs so often. Content
 may recur too (mirrored articles, quoted passages), so a subtree is not
-deleted if it holds a heading of the page, is a paragraph-like block, or has
-more than half of the page's text.
+deleted if it holds the page's own title (the first ``h1``, or a heading that
+its ``title`` names) or has more than half of the page's text. Every other
+element may be template, except those that only make sense with their
+surroundings and go with them: inline elements beside running text, and cells
+of less than ``CELL_WORDS`` words. Hosts with fewer than ``min_pages``
+different pages show no recurrence and keep everything.
 
 If ``article`` elements hold more than half of the page's text, only they
 are read; else the ``main`` elements that have text (of these again only the
@@ -40,7 +44,9 @@ from pyspark.sql import functions as F
 
 from bookrisk.llm.common import durable, text_slices
 
-MIN_PAGES = 20
+MIN_PAGES = 3
+#: A table cell or list term of fewer words is a value, not template by itself.
+CELL_WORDS = 5
 #: Template is on this share of a host's different pages at least.
 SHARE = 0.25
 # ---- fixed values: HTML element classes, names by which sites mark furniture
@@ -57,7 +63,8 @@ NAMES = set("ad ads adv advert adverts advertisement advertising sponsor sponsor
             "breadcrumb breadcrumbs pagination footer header masthead topbar comment comments commentlist disqus replies "
             "reply related recommended share sharing social newsletter subscribe subscription signup login widget widgets "
             "skip toolbar tags".split())
-PLAIN = set("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt article main body".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+CELLS = set("td th dt dd".split())
 CLOSES_P = BLOCK - set("body html caption legend optgroup option summary tbody td tfoot th thead tr".split())
 # ----
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -231,10 +238,10 @@ def _clean(text: str) -> str:
     return _SPACE.sub(" ", html.unescape(text))
 
 
-def blocks(regions: list[Node], removed: dict[int, int] | None = None) -> list[str]:
+def blocks(regions: list[Node], removed: dict[int, int] | None = None, title: str = "") -> list[str]:
     """The text blocks of the regions in page order, without furniture and
     without the template among the subtrees of ``removed``."""
-    gone = _template(regions, removed) if removed else set()
+    gone = _template(regions, removed, title) if removed else set()
     out, now = [], []
 
     def flush():
@@ -272,58 +279,90 @@ def _nodes(regions: list[Node]) -> list[Node]:
     return order
 
 
-def subtree_hashes(regions: list[Node]) -> dict[int, tuple[int, bool, int]]:
-    """By node: hash of its subtree, whether it may be template at all, and
-    its characters."""
+def title_of(root: Node) -> str:
+    """The text of the page's ``title`` element."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "title":
+            return _clean("".join(k for k in node.kids if isinstance(k, str))).strip()
+        todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
+    return ""
+
+
+def _text(node: Node) -> str:
+    parts, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            parts.append(x)
+        elif not x.furniture:
+            todo += reversed(x.kids)
+    return _clean("".join(parts)).strip()
+
+
+def subtree_hashes(regions: list[Node], title: str = "") -> dict[int, tuple[int, bool, bool, int]]:
+    """By node: hash of its subtree, whether it is counted, whether it may be
+    deleted, and its characters."""
     order = _nodes(regions)
-    info: dict[int, tuple[int, int, bool]] = {}  # hash, characters, holds a heading
+    first = next((id(n) for n in order if n.tag == "h1"), None)
+    info: dict[int, tuple[int, int, bool, bool]] = {}  # hash, characters, holds the title, holds a block
+    beside: set[int] = {id(r) for r in regions}  # regions, inline elements beside text, values in cells
     for node in reversed(order):
-        parts, size, heading = [node.tag], 0, node.tag in ("h1", "h2")
+        parts, size, block = [node.tag], 0, False
+        own = id(node) == first or (node.tag in HEADINGS and title != "" and (t := _text(node)) != "" and t in title)
+        running = False
         for k in node.kids:
             if isinstance(k, str):
                 t = _clean(k).strip()
                 size += len(t)
+                running = running or t != ""
                 parts.append(t)
             elif id(k) in info:
-                h, n, has = info[id(k)]
-                size, heading = size + n, heading or has
+                h, n, has, blocks_in = info[id(k)]
+                size, own, block = size + n, own or has, block or blocks_in or k.tag in BLOCK
                 parts.append(f"\0{h}")
-        info[id(node)] = (xxhash.xxh64_intdigest("\1".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63), size, heading)
+        if running:
+            beside.update(id(k) for k in node.kids if isinstance(k, Node) and k.tag not in BLOCK)
+        if node.tag in CELLS and not block and len(_text(node).split()) < CELL_WORDS:
+            beside.update(id(n) for n in _nodes([node]))
+        info[id(node)] = (xxhash.xxh64_intdigest("\1".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63), size, own, block)
     total = sum(info[id(r)][1] for r in regions)
-    tops = {id(r) for r in regions}
-    return {id(n): (h, bool(n.tag not in PLAIN and n.tag in BLOCK and id(n) not in tops and not has and 0 < size and 2 * size <= total), size)
-            for n in order for h, size, has in [info[id(n)]]}
+    counted = {n for n, (_, size, _, _) in info.items() if size and n not in beside}
+    return {n: (h, n in counted, n in counted and not own and 2 * size <= total, size) for n, (h, size, own, _) in info.items()}
 
 
 def candidates(page: str | None) -> tuple[int, list[int]]:
     """Hash of a page's main region, and the distinct hashes of its subtrees
-    that may be template."""
-    regions = main_regions(parse(page))
-    info = subtree_hashes(regions)
+    whose pages are counted."""
+    root = parse(page)
+    regions = main_regions(root)
+    info = subtree_hashes(regions, title_of(root))
     main = xxhash.xxh64_intdigest(",".join(str(info[id(r)][0]) for r in regions)) - (1 << 63)
-    return main, sorted({h for h, may, _ in info.values() if may})
+    return main, sorted({h for h, counted, _, _ in info.values() if counted})
 
 
-def _template(regions: list[Node], removed: dict[int, int]) -> set[int]:
+def _template(regions: list[Node], removed: dict[int, int], title: str) -> set[int]:
     """The nodes to delete: subtrees by their number of pages, as long as not
-    more than half of the text goes. Near copies of a page share most of it;
-    what is on more pages than they are is template."""
-    info = subtree_hashes(regions)
+    more than half of the text is on so many pages. Near copies of a page
+    share most of it; only what is on more pages than they are is template."""
+    info = subtree_hashes(regions, title)
     at = {id(n): n for n in _nodes(regions)}
-    total = sum(info[id(r)][2] for r in regions)
+    total = sum(info[id(r)][3] for r in regions)
     gone: set[int] = set()
     for level in sorted(set(removed.values()), reverse=True):
-        more = {n for n, (h, may, _) in info.items() if may and removed.get(h, 0) >= level}
+        more = {n for n, (h, counted, _, _) in info.items() if counted and removed.get(h, 0) >= level}
         inner = {id(k) for n in more for k in _nodes([at[n]])[1:]}
-        if 2 * sum(info[n][2] for n in more - inner) > total:
+        if 2 * sum(info[n][3] for n in more - inner) > total:
             break
-        gone = more
+        gone = {n for n in more if info[n][2]}
     return gone
 
 
 def extract(page: str | None, removed: dict[int, int] | None = None) -> str:
     """Text of a page without the subtrees of ``removed`` (hash -> pages)."""
-    return "\n".join(blocks(main_regions(parse(page)), removed))
+    root = parse(page)
+    return "\n".join(blocks(main_regions(root), removed, title_of(root) if removed else ""))
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, id_col: str = "page_id", url_col: str = "url",

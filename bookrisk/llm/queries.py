@@ -96,7 +96,7 @@ FROM (SELECT *, whole + CASE WHEN rnk IS NOT NULL AND ahead + size / 2.0::DOUBLE
 
 
 def op7_main_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole pages; subtrees on 20 or more and a quarter of a host's different pages are template."""
+    """Whole pages; subtrees on three or more and a quarter of a host's different pages are template."""
     return html.main_text(table(spark, sf, "pages"))
 
 

@@ -354,6 +354,21 @@ def test_main_text_counts_different_pages(spark):
     assert got[105] == f"{body[5]}\n{body[129][:30].strip()}" and got[200] == body[100]
 
 
+def test_main_text_removes_every_kind_of_template(spark):
+    from bookrisk.llm.html import main_text
+    body, rows = texts(6, 73, 80), []
+    for i, t in enumerate(body):
+        rows.append((i, f"http://small.example/{i}", f"<title>Page {i} | Us</title><article><h1>Page</h1><p>{t} <b>never</b> {t[:9]}</p><table><tr><td>Yes<td>n{i}</table>"
+                     "<p>Follow us on the net</p><ul><li>Print<li>Mail</ul><section><h2>About us</h2><p>We write</section><div><span>Share</span></div></article>"))
+    near = " ".join(texts(1, 74, 90))  # three near copies among twelve pages: their text is content
+    rows += [(20 + i, f"http://near.example/{i}", f"<article><p>{near}</p><p>{near[:99]}</p><p>{t}</p><p>Follow us</article>") for i, t in enumerate(texts(12, 75, 20)) if i < 3]
+    rows += [(40 + i, f"http://near.example/x{i}", f"<article><p>{t}</p><p>Follow us</article>") for i, t in enumerate(texts(9, 76, 40))]
+    got = {x["page_id"]: x["text"] for x in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, t in enumerate(body):
+        assert got[i] == f"Page\n{t} never {t[:9]}".strip() + f"\nYes\nn{i}"
+    assert got[20].startswith(f"{near}\n{near[:99].strip()}\n") and all("Follow" not in t for t in got.values())
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     import corpus_pipeline as P
