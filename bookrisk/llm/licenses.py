@@ -9,8 +9,13 @@ consecutive shingles always lie whole in some window. Where a window holds
 in a band with probability 1 - (1 - 0.55^2)^24 > 0.9998. Band mates are
 verified by the exact share of the template's shingles in the window.
 
-A band can only match where a window holds a shingle of a template, so
-windows without any are not hashed; nothing else is left out.
+Shingles that no template has cannot add to a share: they are left out of a
+window before it is hashed (which only raises the similarity), and windows
+with too few others for 0.8 of any template are not hashed; nothing else is
+left out. Licenses share wordings: where matches of several licenses meet,
+each place belongs to the one that holds most shingles there (then the
+highest containment), and a match counts if it reaches 0.8 with the places
+of its own license. So the notice of GPL-2.0 is not reported as GPL-3.0 too.
 
 Defined results: null or empty text and texts of fewer than five words match
 nothing, nor do templates of fewer than five words; repeated rows and rows
@@ -20,6 +25,9 @@ empty table gives an empty result; other input columns are ignored.
 
 from __future__ import annotations
 
+import math
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +64,36 @@ TEMPLATES = (
                 "not distributed with this file, You can obtain one at"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Further notices; whole texts are in ``license_texts``.
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as "
+        "published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+_OLD = ("This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as published "
+        "by the Free Software Foundation; either version {} of the License, or (at your option) any later version.")
+NOTICES = (
+    ("AGPL-3.0", _GNU.format("Affero General", 3)),
+    ("LGPL-3.0", _GNU.format("Lesser General", 3)),
+    ("GPL-2.0", _GNU.format("General", 2)),
+    ("GPL-2.0", _OLD.format("program", "General", 2)),
+    ("LGPL-2.1", _OLD.format("library", "Lesser General", "2.1")),
+    ("LGPL-2.0", _OLD.format("library", "Library General", 2)),
+    *[(f"{a}-{v}.0", f"This work is licensed under the GNU {b} Public License, version {v}.")
+      for a, b, v in (("AGPL", "Affero General", 3), ("LGPL", "Lesser General", 3), ("GPL", "General", 2))],
+    *[(f"CC-{a.upper()}-4.0", f"This work is licensed under a Creative Commons Attribution-{b} 4.0 International License.")
+      for a, b in (("by-nc", "NonCommercial"), ("by-nd", "NoDerivatives"), ("by-nc-sa", "NonCommercial-ShareAlike"),
+                   ("by-nc-nd", "NonCommercial-NoDerivatives"))],
+    *[(f"CC-{a}-4.0", f"Licensed under CC {a} 4.0.") for a in ("BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")],
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which "
+                "accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which "
+                "is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Artistic-2.0", "Licensed under the Artistic License 2.0."),
+    ("Artistic-1.0-Perl", "This is free software; you can redistribute it and/or modify it under the same terms as the Perl 5 programming "
+                          "language system itself."),
+)
 # ----
+ALL = (*TEMPLATES, *NOTICES, *sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in (files(__package__) / "license_texts").iterdir()))
 
 
 def shingles(text: Column) -> Column:
@@ -74,7 +111,7 @@ def bands(window: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(b), *[low(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
 
 
-def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
+def template_table(spark: SparkSession, templates=ALL) -> DataFrame:
     """(license, t_sh, n, g) of the templates; raises above the size bound."""
     if sum(len(t) for _, t in templates) > MAX_TEMPLATE_CHARS:
         raise ValueError("templates are sent to every task: split them into several scans")
@@ -84,29 +121,50 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return df.where(n > 0).select("license", "template", "t_sh", n.alias("n"), F.greatest(F.lit(1), F.floor(n / 4)).cast("int").alias("g"))
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates=ALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, containment, first_word, windows): one row per
     document and license found."""
     spark = docs.sparkSession
-    known = template_table(spark, templates)
-    marks = [r[0] for r in known.select(F.explode("t_sh")).distinct().collect()]
-    classes = F.array(*[F.struct(F.lit(r["n"]).alias("n"), F.lit(r["g"]).alias("g")) for r in known.select("n", "g").distinct().orderBy("n").collect()])
+    rows = template_table(spark, templates).withColumns({"t_sh": F.array_distinct("t_sh"), "d": F.size(F.array_distinct("t_sh"))}).collect()
+    known = spark.createDataFrame(rows, "license string, template int, t_sh array<long>, n int, g int, d int")
+    marks = sorted({h for r in rows for h in r["t_sh"]})
+    need: dict[tuple[int, int], int] = {}  # shingles of templates that a window of the class must hold
+    for r in rows:
+        c = (r["n"], r["g"])
+        need[c] = min(need.get(c, r["d"]), math.ceil(MIN_CONTAINMENT * r["d"] - 1e-9))
+    classes = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(g).alias("g"), F.lit(x).alias("need")) for (n, g), x in sorted(need.items())])
 
     d = docs.select(F.col(id_col).alias("doc_id"), shingles(F.col(text_col).cast("string")).alias("sh"))
-    # 0-based places of shingles that some template has
-    d = d.withColumn("at", F.filter(F.transform("sh", lambda h, i: F.when(h.isin(marks), i)), lambda p: p.isNotNull()))
+    # shingles that some template has, null elsewhere, and their 0-based places
+    d = d.select("doc_id", F.transform("sh", lambda h: F.when(h.isin(marks), h)).alias("sh"))
+    d = d.withColumn("at", F.filter(F.transform("sh", lambda h, i: F.when(h.isNotNull(), i)), lambda p: p.isNotNull()))
     d = d.where(F.size("at") > 0).withColumn("row", F.monotonically_increasing_id())
-    w = d.select("doc_id", "row", "sh", "at", F.explode(classes).alias("c")).select("doc_id", "row", "sh", "at", "c.n", "c.g")
+    w = d.select("doc_id", "row", "sh", "at", F.explode(F.filter(classes, lambda c: F.size("at") >= c["need"])).alias("c"))
+    w = w.select("doc_id", "row", "sh", "at", "c.n", "c.g", "c.need")
     span = F.col("n") + F.col("g") - 1
     starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(
         F.greatest(F.ceil((p - span + 1) / F.col("g")), F.lit(0)).cast("int"), F.floor(p / F.col("g")).cast("int")))))
-    w = w.select("doc_id", "row", "sh", "n", "g", F.explode(starts).alias("j"))
-    w = w.select("doc_id", "row", "n", "j", (F.col("j") * F.col("g")).alias("start"), F.slice("sh", F.col("j") * F.col("g") + 1, span).alias("win"))
-    w = w.withColumn("win", F.array_distinct("win")).select("doc_id", "row", "n", "j", "start", "win", F.posexplode(bands(F.col("win"))).alias("band", "key"))
-    t = known.select("license", "template", "n", F.array_distinct("t_sh").alias("t_sh"), F.posexplode(bands(F.array_distinct("t_sh"))).alias("band", "key"))
-    met = w.join(F.broadcast(t), ["n", "band", "key"])
-    share = F.size(F.array_intersect("win", "t_sh")) / F.size("t_sh")
-    met = met.select("doc_id", "row", "license", "template", "n", "j", "start", share.alias("containment")).where(F.col("containment") >= MIN_CONTAINMENT)
-    return met.groupBy("doc_id", "license").agg(
+
+    def window(j: Column) -> Column:
+        return let(F.slice("sh", j * F.col("g") + 1, span), lambda x: F.struct(
+            j.alias("j"), (j * F.col("g")).alias("start"), x.alias("seg"), F.array_distinct(F.array_compact(x)).alias("win")))
+    full = F.filter(F.transform(starts, window), lambda x: F.size(x["win"]) >= F.col("need"))
+    w = w.select("doc_id", "row", "n", F.explode(full).alias("x")).select("doc_id", "row", "n", "x.*").withColumn("keys", bands(F.col("win")))
+    t = known.select("license", "template", "n", "d", "t_sh", bands(F.col("t_sh")).alias("t_keys"))
+    met = w.join(F.broadcast(t), (w["n"] == t["n"]) & F.arrays_overlap("keys", "t_keys"))
+    met = met.select("doc_id", "row", "license", "template", "d", "j", "start", "seg", F.size(F.array_intersect("win", "t_sh")).alias("found"))
+    met = met.where(F.col("found") / F.col("d") >= MIN_CONTAINMENT)
+
+    # every place belongs to the license that holds most shingles there, then the highest containment;
+    # a match must reach the share with the places of its license
+    places = met.select("doc_id", "row", "license", "template", "d", "j", "start", "found", F.posexplode("seg").alias("o", "h"))
+    places = places.join(F.broadcast(known.select("template", F.explode("t_sh").alias("h"))), ["template", "h"])
+    one = F.struct("found", (F.col("found") / F.col("d")).alias("containment"), "license", "template", "doc_id", "d", "j", "start", "h")
+    held = places.select("row", (F.col("start") + F.col("o")).alias("p"), one.alias("one")).groupBy("row", "p").agg(F.collect_list("one").alias("all"))
+    best = let(F.array_max(F.transform("all", lambda x: F.struct(x["found"], x["containment"], x["license"]))),
+               lambda b: F.filter("all", lambda x: x["license"] == b["license"]))
+    own = held.select("row", F.explode(best).alias("one")).select("row", "one.*")
+    own = own.groupBy("doc_id", "row", "license", "template", "j", "start", "d", "containment").agg(F.count_distinct("h").alias("left"))
+    return own.where(F.col("left") / F.col("d") >= MIN_CONTAINMENT).groupBy("doc_id", "license").agg(
         F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_word"),
         F.count_distinct("row", "template", "j").alias("windows"))

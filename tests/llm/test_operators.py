@@ -271,6 +271,19 @@ def test_license_scan(spark):
     assert scan(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_license_scan_tells_licenses_apart(spark):
+    from bookrisk.llm.licenses import ALL, NOTICES, TEMPLATES, scan
+    fill = texts(3, 77, 200)
+    rows = [(n, f"{fill[0]}\n{t}\n{fill[1]}") for n, (_, t) in enumerate(ALL)]
+    both = [next(t for a, t in known if a == b) for known, b in ((NOTICES, "GPL-2.0"), (TEMPLATES[7:], "GPL-3.0"))]
+    rows += [(500, f"{both[0]} {both[1]}"), (501, dict(ALL)["BSD-3-Clause"].replace("copyright holder", "Example Ltd"))]
+    got = {}
+    for x in scan(docs_of(spark, rows)).collect():
+        got.setdefault(x["doc_id"], set()).add(x["license"])
+    assert {n: got.get(n) for n in range(len(ALL))} == {n: {a} for n, (a, _) in enumerate(ALL)}
+    assert got[500] == {"GPL-2.0", "GPL-3.0"} and got[501] == {"BSD-3-Clause"}
+
+
 # -------------------------------------------------------------- WARC, HTML
 def test_warc_salvage_skips_damage():
     from bookrisk.llm.warc import Gap, base32_sha1, salvage
