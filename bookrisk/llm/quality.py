@@ -182,8 +182,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int =
     rate = labelled / max(1, sum(counts.values()))
     picked = F.broadcast(known.where(uniform("id", salt="quality") < rate).limit(2 * labelled))
     rows = docs.select(F.col(id_col).alias("id"), *_view_columns(docs, text_col))
-    total = rows.select("id").count()
-    other = rows.where(uniform("id", salt="pool") < pool / max(1, total)).limit(2 * pool).withColumn("y", F.lit(-1))
+    ids = known.select("id")  # the pool holds no labelled row, also none that only calibrates
+    total = rows.select("id").join(ids, "id", "left_anti").count()
+    other = (rows.where(uniform("id", salt="pool") < pool / max(1, total)).join(ids, "id", "left_anti")
+             .limit(2 * pool).withColumn("y", F.lit(-1)))
     sample = rows.join(picked, "id").unionByName(other)
 
     def features(batches):

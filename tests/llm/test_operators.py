@@ -191,6 +191,17 @@ def test_quality_held_out_accuracy(spark):
     assert quality.score(docs.limit(0), empty).count() == 0
 
 
+def test_quality_pool_holds_no_labelled_row(spark, monkeypatch):
+    from bookrisk.llm import quality
+    rows, seen = list(enumerate(texts(60, 78))), {}
+    monkeypatch.setattr(quality, "co_train", lambda views, y, pool, **how: seen.update(labelled=len(y), pool=len(pool[0])))
+    quality.train(docs_of(spark, [*rows, (None, "no id")]), spark.createDataFrame([(i, i % 2) for i, _ in rows[:50]], "doc_id long, quality int"))
+    assert seen == {"labelled": 50, "pool": 11}
+    monkeypatch.undo()
+    model = quality.train(docs_of(spark, rows), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int"))
+    assert quality.score(docs_of(spark, rows), model).count() == 60
+
+
 def test_toxicity(spark):
     from bookrisk.llm import toxicity
     assert toxicity.fold("You 1D10T, $tup1d! оne іdіot‌s 42") == " you idiot stupid one idiots "
