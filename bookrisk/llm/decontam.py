@@ -7,14 +7,16 @@ deletions or replacements. It is cut into k + 1 pieces: k edits leave at
 least one piece untouched, so every occurrence holds an exact piece at, give
 or take k, its place. One Aho-Corasick automaton over all pieces finds the
 hits; the window around a hit is verified with Myers' bit-parallel distance.
+Items of fewer than ``min_chars`` characters may not differ: they are sought
+as they are, between word borders (scripts without spaces have a border at
+every character).
 
 The items are the query set: they are read in blocks of at most
 ``block_bytes`` of text (pieces and automaton grow with the block only), and
 every block is matched against all documents.
 
 Defined results: documents with null or empty text match nothing; items that
-are null, or shorter than ``min_chars`` once normalised, match nothing (too
-short to tell); items with equal normalised text are all reported; repeated
+are null, or empty once normalised, match nothing; items with equal normalised text are all reported; repeated
 documents get equal rows; null ids stay null; empty tables give an empty
 result; other input columns are ignored.
 """
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from bookrisk.llm.common import text_slices
 
 _WORDS = re.compile(r"[^\W_]+")
+#: Thai to Khmer, kana, Chinese characters.
+_SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 CHARS_PER_EDIT = 16
 MIN_CHARS = 24
 MATCH = "doc_id long, item_id long, edits int, start int, length int"
@@ -43,6 +47,11 @@ def normalise(text: str | None) -> str:
     return " ".join(_WORDS.findall((text or "").lower()))
 
 
+def border(text: str, at: int) -> bool:
+    """Whether a word may begin or end before the character at ``at``."""
+    return at <= 0 or at >= len(text) or " " in text[at - 1:at + 1] or _SPACELESS.search(text[at - 1:at + 1]) is not None
+
+
 def myers(pattern: str, text: str, limit: int) -> tuple[int, int] | None:
     """Least edits of ``pattern`` against any part of ``text`` and where that
     part ends (the first best), or None if above ``limit``."""
@@ -74,7 +83,8 @@ class Matcher:
     """Finds the items of one block in normalised texts."""
 
     def __init__(self, items: list[tuple[int, str]], chars_per_edit: int = CHARS_PER_EDIT, min_chars: int = MIN_CHARS):
-        self.items = [(i, t, len(t) // chars_per_edit) for i, t in ((i, normalise(t)) for i, t in items) if len(t) >= min_chars]
+        self.items = [(i, t, len(t) // chars_per_edit if len(t) >= min_chars else 0) for i, t in ((i, normalise(t)) for i, t in items) if t]
+        self.short = [len(t) < min_chars for _, t, _ in self.items]
         places = defaultdict(list)
         for n, (_, t, k) in enumerate(self.items):
             cut = [len(t) * p // (k + 1) for p in range(k + 2)]
@@ -99,6 +109,11 @@ class Matcher:
             item, pattern, k = self.items[n]
             best, checked = None, None
             for s in sorted(where):
+                if self.short[n]:
+                    if border(text, s) and border(text, s + len(pattern)):
+                        best = (0, s, len(pattern))
+                        break
+                    continue
                 lo, hi = max(0, s - k), min(len(text), s + len(pattern) + k)
                 if checked and lo >= checked[0] and hi <= checked[1]:
                     continue

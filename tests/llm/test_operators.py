@@ -138,6 +138,15 @@ def test_decontamination_finds_edits_within_the_budget(spark):
     assert clean(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_seeks_short_items(spark):
+    from bookrisk.llm.decontam import clean, matches
+    bench = spark.createDataFrame([(1, "What is it?"), (2, "日本の首都"), (3, "!?"), (4, "")], "item_id long, text string")
+    docs = docs_of(spark, [(1, "So, WHAT is it. Yes"), (2, "what is italy"), (3, "somewhat is it"), (4, "それは日本の首都です"), (5, "what is"), (6, None)])
+    got = {(x["doc_id"], x["item_id"], x["edits"], x["start"], x["length"]) for x in matches(docs, bench).collect()}
+    assert got == {(1, 1, 0, 3, 10), (4, 2, 0, 3, 5)}
+    assert sorted(x["doc_id"] for x in clean(docs, bench).collect()) == [2, 3, 5, 6]
+
+
 def test_myers_equals_dynamic_programme():
     from bookrisk.llm.decontam import myers
     r = random.Random(1)
