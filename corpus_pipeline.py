@@ -7,9 +7,9 @@ A driver writes each result as Parquet and reads it as the next one's input;
 
 Defined results: rows with null text or null ids pass through the stages that
 cannot judge them (quality scores null text like empty text; language ID
-rejects it); rows without an id are never dropped as copies; repeated rows
-of an id leave one row in the near-dedup stage; empty tables give empty
-results; extra columns, also with names that operators use, are kept.
+rejects it); the near-dedup stage judges rows, so that different texts of one
+id stay unless they are copies themselves, and repeated rows leave one; rows
+without an id are copies of one another only; empty tables give empty results; extra columns, also with names that operators use, are kept.
 """
 
 from __future__ import annotations
@@ -42,13 +42,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group."""
-    groups = simhash.near_duplicates(docs, shingle=3, radius=3)
-    copies = durable(groups.where("doc_id != component_id").select("doc_id").distinct())
-    rest = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    again = durable(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    once = rest.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(rest.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """Keeps the row with the smallest id, then text hash, of each group, and
+    of its rows without an id the one with the smallest text hash."""
+    values = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = docs.withColumn("__row", F.xxhash64(*[x for v in values for x in (v, v.isNull())]))
+    groups = simhash.near_duplicates(rows, shingle=3, radius=3, id_col="__row")
+    each = groups.groupBy(F.col("doc_id").alias("__row"), "component_id").agg(F.count(F.lit(1)).alias("n"))
+    order = rows.select("__row", "doc_id", F.xxhash64("text").alias("t")).dropDuplicates(["__row"])
+    first = each.join(order, "__row").groupBy("component_id", F.col("doc_id").isNull().alias("no_id")).agg(
+        F.min(F.struct("doc_id", "t", "__row", "n")).alias("f"))
+    kept = durable(first.select("f.__row", "f.n"))
+    once = rows.join(kept.where("n = 1").select("__row"), "__row", "left_semi").select(*docs.columns)
+    again = rows.join(kept.where("n > 1").select("__row"), "__row", "left_semi").dropDuplicates(["__row"])
+    return once.unionByName(again.select(*docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

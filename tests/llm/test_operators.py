@@ -424,3 +424,13 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert 300 not in ids[2] and set(range(120)) <= ids[2] and None in ids[2]
     assert ids[3] == ids[2] - {303}
     assert ids[4] <= ids[3] and P.run(spark, sf).count() == docs.count()
+
+
+def test_near_dedup_stage_judges_rows(spark):
+    import corpus_pipeline as P
+    a, b, c, d = texts(4, 79)
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, d), (None, f"{d} "), (None, a), (4, None)]
+    out = P.near_dedup_stage(spark, docs_of(spark, rows), "")
+    got = sorted(((x["doc_id"], (x["text"] or "").strip()) for x in out.collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (3, c), (None, d), (None, a), (4, "")], key=str)
+    assert P.near_dedup_stage(spark, docs_of(spark, rows).limit(0), "").count() == 0
