@@ -154,10 +154,13 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rou
         if turn == rounds:
             break
         taken = np.zeros(len(left), dtype=bool)
+        says = [_sure(calibration[i], models[i].logit(pool[i])) for i in (0, 1)]
+        # rows of which the views are sure in opposite ways teach neither
+        agreed = ~((np.minimum(*says) <= 1 - confident) & (np.maximum(*says) >= confident))
         for teacher, pupil in ((0, 1), (1, 0)):
-            p = _sure(calibration[teacher], models[teacher].logit(pool[teacher]))
+            p = says[teacher]
             for label, sure in ((1.0, p), (0.0, 1 - p)):
-                pick = np.flatnonzero(left & (sure >= confident))
+                pick = np.flatnonzero(left & agreed & (sure >= confident))
                 pick = pick[np.argsort(-sure[pick], kind="stable")][:per_round]
                 extra[pupil] = [np.vstack([extra[pupil][0], pool[pupil][pick]]), np.r_[extra[pupil][1], np.full(len(pick), label)]]
                 taken[pick] = True
