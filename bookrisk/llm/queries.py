@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bookrisk.llm import decontam, html, langid, licenses, mixing, quality, simhash, sketch, toxicity, warc
+from bookrisk.llm import decontam, html, langid, licenses, mixing, pieces, quality, simhash, sketch, toxicity, warc
 from bookrisk.llm.common import durable, id_crc, shared_folder, table
 
 
@@ -115,7 +115,17 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Every whole text encoded with a public 32k model and decoded again."""
+    import public_tokenizers
+
+    done = pieces.round_trip(table(spark, sf, "documents"), pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_quality, op4_warc, op5_toxicity, op6_mixing, op7_main_text, op8_simhash_near_dedup, op9_fingerprints,
-                                   op10_license_scan)}
+                                   op10_license_scan, op13_sentencepiece)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {"op4_warc": OP4_SQL, "op6_mixing": OP6_SQL}
