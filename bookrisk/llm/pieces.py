@@ -17,7 +17,7 @@ A space mark (U+2581) that follows another character starts a new stretch if
 no piece holds such a mark inside; so does a control character that no piece
 holds. Stretches are encoded apart, and those of up to ``SHORT`` characters
 are remembered by a worker, ``REMEMBER`` at a time, as are the verdicts on
-``PAIRS`` pairs of tokens; both bounds only affect speed.
+``PAIRS`` pairs of tokens; these bounds and ``WINDOW`` only affect speed and memory.
 
 Defined results: null and empty texts have no tokens and decode to the empty
 text; texts of any length are encoded whole; rows are independent of each
@@ -47,8 +47,10 @@ from bookrisk.llm.common import text_slices
 
 MARK = "▁"
 SHORT = 48
-REMEMBER = 200_000
-PAIRS = 400_000
+REMEMBER = 150_000
+PAIRS = 200_000
+#: Characters that are cut into stretches at a time.
+WINDOW = 1 << 18
 UNKNOWN_SURFACE = " ⁇ "
 #: Kinds of ids that matter to decoding: without a text, beginning with the mark.
 CONTROL, MARKED = 1, 2
@@ -122,10 +124,19 @@ class Vocabulary:
         """Kept with the broadcast value, so a worker's next tasks use it too."""
         return Encoder(self)
 
+    @cached_property
+    def inner_mark(self) -> bool:
+        return any(MARK in p.lstrip(MARK) for p in self.pieces)
+
+    @cached_property
+    def cut(self) -> re.Pattern:
+        """Two characters between which no merge takes place."""
+        return re.compile("(?!)" if self.inner_mark else f"[^{MARK}]{MARK}")
+
     @cached_property
     def stretch(self) -> re.Pattern:
-        """Where a text may be cut without touching any merge."""
-        if any(MARK in p.lstrip(MARK) for p in self.pieces):
+        """Parts of a text across whose borders no merge takes place."""
+        if self.inner_mark:
             return re.compile(r"(?s).+")
         held = {c for p in self.pieces if len(p) > 1 for c in p}
         alone = "".join(c for c in "\n\r\t" if c not in held)
@@ -150,16 +161,16 @@ class Vocabulary:
     def encode_stretch(self, s: str) -> bytes:
         """Ids of a stretch as 32-bit integers."""
         last = array("i", [-1]) * (len(s) + 1) if len(s) > SHORT else [-1] * (len(s) + 1)
-        judged = self.judged
-        found = 0
+        judged, many, found = self.judged, len(self.rank), 0
         for end, (i, size) in self.automaton.iter(s):
             if end < found:
                 continue
             before = last[end + 1 - size]  # -1 before the text and after a character in no piece
             if before >= 0:
-                pair = before << 32 | i
-                fits = judged.get(pair)
-                if fits is None:
+                pair = before * many + i
+                try:
+                    fits = judged[pair]
+                except KeyError:
                     if len(judged) >= PAIRS:
                         judged.clear()
                     fits = judged[pair] = self.compatible(before, i)
@@ -167,17 +178,17 @@ class Vocabulary:
                     continue
             last[end + 1] = i
             found = end + 1
-        ids, at, size = array("i"), len(s), self.size
+        ids, at, size = [], len(s), self.size
         while at:
             i = last[at]
             if i < 0:  # in no piece
-                ids.extend([self.byte_ids[x] for x in reversed(s[at - 1].encode())])
+                ids += [self.byte_ids[x] for x in reversed(s[at - 1].encode())]
                 at -= 1
             else:
                 ids.append(i)
                 at -= size[i]
         ids.reverse()
-        return ids.tobytes()
+        return array("i", ids).tobytes()
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -213,63 +224,86 @@ class Encoder:
     def __init__(self, v: Vocabulary):
         self.v, self.young, self.old = v, {}, {}
 
+    def windows(self, text: str) -> Iterator[str]:
+        """The marked text in parts of ``WINDOW`` characters, or more where
+        there is no place to cut."""
+        text, at = MARK + text.replace(" ", MARK), 0
+        while at < len(text):
+            cut = self.v.cut.search(text, at + WINDOW)
+            end = cut.start() + 1 if cut else len(text)
+            yield text[at:end]
+            at = end
+
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+        """Ids of a text as 32-bit integers."""
         out, young = [], self.young
-        for s in self.v.stretch.findall(MARK + text.replace(" ", MARK)):
-            x = young.get(s)
-            if x is None:
-                x = self.old.get(s) or self.v.encode_stretch(s)
-                if len(s) <= SHORT:
-                    young[s] = x
-                    if len(young) >= REMEMBER:
-                        self.old, self.young = young, {}
-                        young = self.young
-            out.append(x)
+        for w in self.windows(text) if text else ():
+            for s in self.v.stretch.findall(w):
+                x = young.get(s)
+                if x is None:
+                    x = self.old.get(s) or self.v.encode_stretch(s)
+                    if len(s) <= SHORT:
+                        young[s] = x
+                        if len(young) >= REMEMBER:
+                            self.old, self.young = young, {}
+                            young = self.young
+                out.append(x)
         return b"".join(out)
 
+    def encode(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin and end."""
+        found = [self.ids(t) for t in texts]
+        ends = np.cumsum([0, *(len(x) // 4 for x in found)])
+        return pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))]), ends
 
-def encoder(spark: SparkSession, v: Vocabulary):
-    """A column function text -> array of ids."""
-    shared = spark.sparkContext.broadcast(v)
 
-    @F.arrow_udf("array<int>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        e = shared.value.encoder
-        for values in batches:
-            found = [e.ids(t) for part in text_slices(values) for t in part]
-            ends = np.cumsum([0, *(len(x) // 4 for x in found)])
-            ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
-    return run.asNondeterministic()  # evaluated once, not again for each use
+@dataclass(frozen=True)
+class Decoder:
+    """Bytes and kinds of all ids."""
+
+    surface: pa.Array
+    kind: np.ndarray
+
+    @classmethod
+    def of(cls, v: Vocabulary) -> Decoder:
+        kind = [CONTROL if not x else MARKED if p[:1] == MARK else 0 for x, p in zip(v.surface, v.text, strict=True)]
+        return cls(pa.array(v.surface, pa.binary()), np.array(kind))
+
+    def decode(self, ids: pa.Array, ends: np.ndarray) -> list[str]:
+        """The texts of lists of ids, which lie one after the other."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.surface.take(ids)), b"").to_pylist()
+        kind = self.kind[ids]
+        shown = np.where(kind == CONTROL, len(ids), np.arange(len(ids)))
+        first = np.append(np.minimum.accumulate(shown[::-1])[::-1], len(ids))[ends[:-1]]  # what starts each text, or a later one
+        return [_text(x, k != MARKED) for x, k in zip(joined, np.append(kind, CONTROL)[first], strict=True)]
 
 
 def decoder(spark: SparkSession, v: Vocabulary):
     """A column function array of ids -> text. A run of byte tokens is read as
     UTF-8, each wrong byte as U+FFFD; control ids and nulls are passed over; the
     mark before the text goes."""
-    kinds = np.array([CONTROL if not x else MARKED if p[:1] == MARK else 0 for x, p in zip(v.surface, v.text, strict=True)])
-    shared = spark.sparkContext.broadcast((v.surface, kinds))
+    shared = spark.sparkContext.broadcast(v)
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        surface, kind = pa.array(shared.value[0], pa.binary()), shared.value[1]
+        d = Decoder.of(shared.value)
         for values in batches:
-            out = []
-            for at in range(0, len(values), 256):
-                part = values.slice(at, 256)
-                ids, starts = part.flatten(), pc.subtract(part.offsets, part.offsets[0])
-                joined = pc.binary_join(pa.ListArray.from_arrays(starts, surface.take(ids)), b"").to_pylist()
-                shown = np.where(kind[ids] == CONTROL, len(ids), np.arange(len(ids)))
-                first = np.append(np.minimum.accumulate(shown[::-1])[::-1], len(ids))[starts]  # id that starts each text, or a later text's
-                out += [_text(x, w) for x, w in zip(joined, np.append(kind[ids], CONTROL)[first[:-1]] != MARKED, strict=True)]
-            yield pa.array(out, pa.string())
+            starts = values.offsets.to_numpy()
+            yield pa.array(d.decode(values.flatten(), starts - starts[0]), pa.string())
     return lambda ids: run(F.coalesce(F.array_compact(ids), F.array().cast("array<int>")))
 
 
 def round_trip(docs: DataFrame, v: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, decoded) of every row."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    ids = docs.select(F.col(id_col).alias("doc_id"), encoder(docs.sparkSession, v)(text).alias("ids"))
-    return ids.select("doc_id", "ids", decoder(docs.sparkSession, v)(F.col("ids")).alias("decoded"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, d = shared.value.encoder, Decoder.of(shared.value)
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                ids, ends = e.encode(part.column(1).to_pylist())
+                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids),
+                                       pa.array(d.decode(ids, ends), pa.string())], names=["doc_id", "ids", "decoded"])
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
