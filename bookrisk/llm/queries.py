@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bookrisk.llm import decontam, html, langid, licenses, mixing, pieces, quality, simhash, sketch, toxicity, warc
+from bookrisk.llm import conversations, decontam, html, langid, licenses, mixing, pieces, quality, simhash, sketch, toxicity, warc, whitening
 from bookrisk.llm.common import durable, id_crc, shared_folder, table
 
 
@@ -115,6 +115,18 @@ def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Damaged conversations, their faults and their cheapest repair."""
+    whole = table(spark, sf, "conversations")
+    return conversations.repair(whole, conversations.damaged(whole))
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """The 32 leading components of all vectors."""
+    done = whitening.whiten(table(spark, sf, "embeddings"), components=32)
+    return done.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Every whole text encoded with a public 32k model and decoded again."""
     import public_tokenizers
@@ -126,6 +138,6 @@ def op13_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_quality, op4_warc, op5_toxicity, op6_mixing, op7_main_text, op8_simhash_near_dedup, op9_fingerprints,
-                                   op10_license_scan, op13_sentencepiece)}
+                                   op10_license_scan, op11_conversation_repair, op12_whitening, op13_sentencepiece)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {"op4_warc": OP4_SQL, "op6_mixing": OP6_SQL}
