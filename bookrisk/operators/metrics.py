@@ -1,10 +1,10 @@
 """Model evaluation on a long score table ``(model, Booking_ID, score, label[, split])``.
 
 Threshold metrics are one conditional aggregate per group. Curves and AUC
-first group by (model, score): scores are probabilities rounded to 4
-places, so each model has at most 10,001 distinct scores and the per-model
-cumulative window runs over a bounded table, whatever the number of rows.
-Unrounded scores are rounded to ``SCORE_PLACES`` here to keep that bound.
+use the scores as they are: rows are counted by (model, score), the counts cut
+into ranges of the score, and totals run on two levels, inside a range and
+over the ranges. A task holds one range of distinct scores, also of a model
+with a score per row.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookrisk.functions.hashing import uniform
+from bookrisk.operators.quantiles import in_ranges
+from bookrisk.operators.split import stratified
 
-SCORE_PLACES = 4
 MODEL_ORDER = ["lr", "dt", "rf", "xgb", "gbt", "ensemble"]
 
 
@@ -24,21 +24,16 @@ def model_rank(model: Column) -> Column:
 
 
 # ------------------------------------------------------------------ splits
-def split_two(df: DataFrame, key: str = "Booking_ID", test: float = 0.20, salt: str = "split") -> DataFrame:
-    """Deterministic 80/20 split by a hash of the key. The draw does not
-    depend on the label, so both classes are split in the same proportion
-    up to sampling noise (see :func:`split_rates`)."""
-    u = uniform(F.col(key), salt)
-    return df.withColumn("split", F.when(u < test, F.lit("test")).otherwise(F.lit("train")))
+def split_two(df: DataFrame, key: str = "Booking_ID", test: float = 0.20, salt: str = "split", label: str = "No_Show") -> DataFrame:
+    """80/20 split, stratified to the row (:func:`stratified`)."""
+    return stratified(df, {"test": test}, key=key, label=label, salt=salt)
 
 
 def split_three(df: DataFrame, key: str = "Booking_ID", val: float = 0.20, test: float = 0.20,
-                salt: str = "split") -> DataFrame:
-    """60/20/20 train / val / test by the same hash (test is the same rows
+                salt: str = "split", label: str = "No_Show") -> DataFrame:
+    """60/20/20 train / val / test by the same order (test is the same rows
     as in :func:`split_two` when the test share is equal)."""
-    u = uniform(F.col(key), salt)
-    return df.withColumn("split", F.when(u < test, F.lit("test")).when(u < test + val, F.lit("val"))
-                         .otherwise(F.lit("train")))
+    return stratified(df, {"test": test, "val": val}, key=key, label=label, salt=salt)
 
 
 def split_rates(df: DataFrame, label: str = "No_Show") -> DataFrame:
@@ -93,9 +88,10 @@ def long_scores(df: DataFrame, score_cols: dict[str, str], label: str = "No_Show
         .select("_s.model", *keep, "_s.score", "label")
 
 
-def ensemble_soft_vote(df: DataFrame, cols: list[str], out: str = "score_ensemble", places: int = 4) -> DataFrame:
+def ensemble_soft_vote(df: DataFrame, cols: list[str], out: str = "score_ensemble", places: int | None = 4) -> DataFrame:
+    """Mean of the scores, rounded to ``places`` (None: as it is)."""
     mean = sum((F.col(c) for c in cols), F.lit(0.0)) / F.lit(float(len(cols)))
-    return df.withColumn(out, F.bround(mean, places))
+    return df.withColumn(out, mean if places is None else F.bround(mean, places))
 
 
 # ------------------------------------------------------------------ threshold metrics
@@ -123,18 +119,28 @@ def with_rates(g: DataFrame, places: int = 4) -> DataFrame:
 
 
 def score_counts(df: DataFrame, by: list[str] = ("model",)) -> DataFrame:
-    """(by..., score, pos, neg): at most 10**SCORE_PLACES + 1 rows per group."""
-    s = F.bround(F.col("score"), SCORE_PLACES).alias("score")
-    return df.groupBy(*by, s).agg(F.count_if(F.col("label") == 1).cast("bigint").alias("pos"),
-                                  F.count_if(F.col("label") != 1).cast("bigint").alias("neg"))
+    """(by..., score, pos, neg), one row per distinct score."""
+    return df.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).cast("bigint").alias("pos"),
+                                        F.count_if(F.col("label") != 1).cast("bigint").alias("neg"))
 
 
 def cumulative(counts: DataFrame, by: list[str] = ("model",)) -> DataFrame:
     """Per distinct score (descending): rows scored >= it, and class totals."""
-    w = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    wall = Window.partitionBy(*by)
-    return counts.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w),
-                               "P": F.sum("pos").over(wall), "N": F.sum("neg").over(wall)})
+    falling = F.col("score").desc_nulls_last()
+    counts = in_ranges(counts, *by, falling)
+    group = Window.partitionBy(*[f"_g{i}" for i in range(len(by))])
+    sums = counts.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_r").alias("_gr")).agg(
+        F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    ahead = group.orderBy("_gr")
+    totals = sums.select(*[f"_g{i}" for i in range(len(by))], "_gr", (F.sum("_p").over(ahead) - F.col("_p")).alias("_tp"),
+                         (F.sum("_n").over(ahead) - F.col("_n")).alias("_fp"), F.sum("_p").over(group).alias("P"), F.sum("_n").over(group).alias("N"))
+    inside = Window.partitionBy(*by, "_r").orderBy(falling).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("_r") == F.col("_gr")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    run = counts.withColumns({"_itp": F.sum("pos").over(inside), "_ifp": F.sum("neg").over(inside)}).join(totals, same)
+    return run.withColumns({"tp": F.col("_itp") + F.col("_tp"), "fp": F.col("_ifp") + F.col("_fp")}).drop(
+        "_r", "_gr", "_itp", "_ifp", "_tp", "_fp", *[f"_g{i}" for i in range(len(by))])
 
 
 def roc_auc(df: DataFrame, by: list[str] = ("model",)) -> DataFrame:
@@ -150,7 +156,7 @@ def confusion_with_auc(df: DataFrame, threshold: Column | float = 0.5, by: list[
     """``confusion`` and ``roc_auc`` from one grouped table, so one pass over ``df``."""
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     hit, pos = F.col("score") >= t, F.col("label") == 1
-    counts = df.groupBy(*by, F.bround(F.col("score"), SCORE_PLACES).alias("score")).agg(
+    counts = df.groupBy(*by, "score").agg(
         F.count_if(pos).alias("pos"), F.count_if(~pos).alias("neg"),
         F.count_if(hit & pos).alias("hit_pos"), F.count_if(hit & ~pos).alias("hit_neg"),
         F.count_if(~hit & pos).alias("miss_pos"), F.count_if(~hit & ~pos).alias("miss_neg"))

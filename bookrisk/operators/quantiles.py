@@ -8,13 +8,13 @@ rows, or with a value per row, spreads over many ranges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookrisk.session import ensure_checkpoint_dir
 
 
-def in_ranges(counts: DataFrame, *by: str, ranges: int | None = None) -> DataFrame:
+def in_ranges(counts: DataFrame, *by: str | Column, ranges: int | None = None) -> DataFrame:
     """``counts`` dealt out by ranges of ``by``, their number in ``_r``.
     ``ranges`` (by default the session's shuffle partitions) sets the size of
     a task, not the result. The ranges come from a sample, so they are fixed

@@ -106,12 +106,12 @@ def fit(train: DataFrame, kind: str, settings: str = "script") -> PipelineModel:
     return Pipeline(stages=[_assembler(), *estimator(kind, wsum, settings)]).fit(t)
 
 
-def score(model: PipelineModel, feats: DataFrame, keep: list[str] = ("Booking_ID",)) -> DataFrame:
-    """Probability rounded to 4 places; level from the unrounded value."""
+def score(model: PipelineModel, feats: DataFrame, keep: list[str] = ("Booking_ID",), places: int | None = 4) -> DataFrame:
+    """Probability rounded to ``places`` (None: as it is); level from the unrounded value."""
     out = model.transform(feats)
     p1 = vector_to_array(F.col("probability")).getItem(1)
     extra = [c for c in ("No_Show",) if c in feats.columns]
-    return out.select(*keep, *extra, F.bround(p1, 4).alias("no_show_probability"), risk_level(p1).alias("risk_level"))
+    return out.select(*keep, *extra, (p1 if places is None else F.bround(p1, places)).alias("no_show_probability"), risk_level(p1).alias("risk_level"))
 
 
 def coefficients(spark, model: PipelineModel) -> DataFrame:

@@ -13,6 +13,7 @@ from bookrisk.operators import drift as D
 from bookrisk.operators import features as FE
 from bookrisk.operators import metrics as M
 from bookrisk.operators import stores as ST
+from bookrisk.operators.split import stratified_sql
 from bookrisk.plans import common as C
 from bookrisk.plans.catalog import query
 from bookrisk.plans.q_metrics import W as METRICS_W
@@ -229,13 +230,13 @@ UNION ALL SELECT 'monthly_volume_growth', round(cur / ref - 1.0, 6), 0.2, CAST(c
 query("training_readiness", with_("bk") + f"""
 SELECT 'full_retrain' AS gate, CAST(20000 AS BIGINT) AS required, CAST(count(Outcome) AS BIGINT) AS available,
   CAST(count(Outcome) >= 20000 AS INTEGER) AS ready FROM bk
-UNION ALL SELECT 'threshold_retune', 5000, CAST(count(*) AS BIGINT), CAST(count(*) >= 5000 AS INTEGER) FROM bk
-  WHERE {h('Booking_ID', 'split')} >= 0.2
-  AND {h('Booking_ID', 'split')} < 0.4
+UNION ALL SELECT 'threshold_retune', 5000, CAST(count(*) AS BIGINT), CAST(count(*) >= 5000 AS INTEGER) 
+  FROM {stratified_sql("(SELECT *, CAST(coalesce(Outcome = 'No-Show', false) AS INTEGER) AS No_Show FROM bk)", "No_Show", {"test": 0.2, "val": 0.2}, "train", h("Booking_ID", "split"))}
+  WHERE split = 'val'
 UNION ALL SELECT 'emergency_patch', 2000, CAST(count(Outcome) AS BIGINT), CAST(count(Outcome) >= 2000 AS INTEGER) FROM bk
   WHERE Appointment_Time >= TIMESTAMP '{DRIFT_DATE}'""")(
     lambda spark, sf: D.training_readiness(
-        C.bk(spark, sf), M.split_three(C.bk(spark, sf)).where(F.col("split") == "val"),
+        C.bk(spark, sf), M.split_three(FE.add_target(C.bk(spark, sf))).where(F.col("split") == "val"),
         C.bk(spark, sf).where(F.col("Appointment_Time") >= F.lit(DRIFT_DATE).cast("timestamp_ntz"))))
 
 query("champion_challenger", METRICS_W + f"""

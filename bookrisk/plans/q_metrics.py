@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bookrisk.functions.hashing import uniform
 from bookrisk.functions.hashing import uniform_sql as h
 from bookrisk.operators import features as FE
 from bookrisk.operators import metrics as M
+from bookrisk.operators.split import stratified_sql
 from bookrisk.operators.score import CARDS, score_cards
 from bookrisk.plans import common as C
 from bookrisk.plans.catalog import query
@@ -40,12 +42,11 @@ def part(spark, sf, split) -> DataFrame:
 
 
 # ---------------------------------------------------------------- SQL side
+TWO, THREE = {"test": 0.2}, {"test": 0.2, "val": 0.2}
 LG = f"""
 sl AS (
-  SELECT *, round_even((score_lr + score_rf + score_xgb) / 3.0, 4) AS score_ensemble,
-    CASE WHEN {h('Booking_ID', 'split')} < 0.2 THEN 'test' WHEN {h('Booking_ID', 'split')} < 0.4 THEN 'val'
-         ELSE 'train' END AS split
-  FROM cards
+  SELECT *, round_even((score_lr + score_rf + score_xgb) / 3.0, 4) AS score_ensemble
+  FROM {stratified_sql('cards', 'No_Show', THREE, 'train', h('Booking_ID', 'split'))}
 ), lg AS (
   {' UNION ALL '.join(f"SELECT '{m}' AS model, Booking_ID, split, CAST({c} AS DOUBLE) AS score, No_Show AS label FROM sl"
                       for m, c in SCORES.items())}
@@ -90,8 +91,8 @@ MODEL_RANK = "list_position(['lr', 'rf', 'xgb', 'ensemble'], model)"
 W = with_("cards", extra=LG)
 
 # ---------------------------------------------------------------- keys
-query("split_stratified_2", with_("ft") + f"""
-SELECT Booking_ID, No_Show, CASE WHEN {h('Booking_ID', 'split')} < 0.2 THEN 'test' ELSE 'train' END AS split FROM ft""")(
+SPLIT2 = stratified_sql("ft", "No_Show", TWO, "train", h("Booking_ID", "split"))
+query("split_stratified_2", with_("ft") + f"SELECT Booking_ID, No_Show, split FROM {SPLIT2}")(
     lambda spark, sf: M.split_two(FE.build_base(C.bk(spark, sf))).select("Booking_ID", "No_Show", "split"))
 
 query("split_stratified_3", W + "SELECT Booking_ID, No_Show, split FROM sl")(
@@ -101,7 +102,7 @@ query("agg_target_rate", W + """
 SELECT split, CAST(count(*) AS BIGINT) AS n, round(avg(No_Show), 6) AS target_rate FROM sl GROUP BY split""")(
     lambda spark, sf: r6(M.split_rates(wide(spark, sf))))
 
-_TRAIN2 = f"(SELECT * FROM ft WHERE {h('Booking_ID', 'split')} >= 0.2)"
+_TRAIN2 = f"(SELECT * FROM {SPLIT2} WHERE split = 'train')"
 query("scale_standard", with_("ft") + ", p AS (SELECT " + ", ".join(
     f"avg({c}) AS m_{i}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s_{i}"
     for i, c in enumerate(SCALED)) + f" FROM {_TRAIN2})\nSELECT Booking_ID, " + ", ".join(
@@ -193,6 +194,26 @@ SELECT model, round(max(auc) FILTER (WHERE split = 'train'), 6) AS train_auc,
   round(max(auc) FILTER (WHERE split = 'train') - max(auc) FILTER (WHERE split = 'test'), 6) AS gap FROM auc GROUP BY model""")(
     lambda spark, sf: r6(M.overfit_gap(long(spark, sf))))
 
+def raw(spark, sf) -> DataFrame:
+    """Scores with a value of their own in almost every row, like those of a fitted model."""
+    return long(spark, sf).withColumn("score", F.col("score") + uniform(F.concat("model", F.lit("/"), "Booking_ID"), "raw") / 64.0)
+
+
+_RAW = W.replace(
+    "), cnt AS (", f"), lr0 AS (SELECT * REPLACE (score + {h("model || '/' || Booking_ID", 'raw')} / 64.0 AS score) FROM lg), cnt AS (").replace(
+    "FROM lg GROUP BY ALL", "FROM lr0 GROUP BY ALL", 1)
+query("roc_auc_unrounded", _RAW + "SELECT model, split, round(auc, 6) AS auc FROM auc")(
+    lambda spark, sf: r6(M.roc_auc(raw(spark, sf), by=["model", "split"])))
+
+query("pr_curve_unrounded", _RAW + """
+SELECT model, threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(precision, 6) AS precision, round(recall, 6) AS recall
+FROM pr WHERE split = 'val'""")(
+    lambda spark, sf: M.pr_curve(raw(spark, sf).where(F.col("split") == "val")).select(
+        "model", "threshold", "tp", "fp", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall")))
+
+query("threshold_max_recall_unrounded", _RAW + "SELECT model, threshold, found FROM recbest WHERE split = 'val'")(
+    lambda spark, sf: M.threshold_max_recall(M.pr_curve(raw(spark, sf).where(F.col("split") == "val"))))
+
 query("brier_score", W + "SELECT model, round(avg(pow(score - label, 2)), 6) AS brier FROM lg WHERE split = 'test' GROUP BY model")(
     lambda spark, sf: r6(M.brier(part(spark, sf, "test"))))
 

@@ -28,7 +28,7 @@ def _train_eval(kind, name):
     def run(spark, sf):
         d = _split(spark, sf)
         model = TR.fit(d.where(F.col("split") == "train").drop("split"), kind, SETTINGS[kind])
-        return TR.evaluate_model(name, TR.score(model, d.where(F.col("split") == "test")))
+        return TR.evaluate_model(name, TR.score(model, d.where(F.col("split") == "test"), places=None))
     return run
 
 
@@ -85,9 +85,9 @@ def _train_and_save(spark, sf, base: str) -> None:
     scores = rest.select("Booking_ID", "split", "No_Show")
     for kind in NAMES:
         TR.save(TR.fit(train, kind), f"{base}/{kind}")
-        scores = scores.join(TR.score(TR.load(f"{base}/{kind}"), rest).select(
+        scores = scores.join(TR.score(TR.load(f"{base}/{kind}"), rest, places=None).select(
             "Booking_ID", F.col("no_show_probability").alias(f"score_{kind}")), "Booking_ID")
-    scores = M.ensemble_soft_vote(scores, [f"score_{k}" for k in VOTERS])
+    scores = M.ensemble_soft_vote(scores, [f"score_{k}" for k in VOTERS], places=None)
     long = M.long_scores(scores, {k: f"score_{k}" for k in (*NAMES, "ensemble")})
     table = M.tuned_table(long.where(F.col("split") == "val"), long.where(F.col("split") == "test"))
     parts = F.when(F.col("model") == "ensemble", F.lit(",".join(f"{base}/{k}" for k in VOTERS))).otherwise(
