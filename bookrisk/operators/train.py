@@ -64,14 +64,15 @@ SETTINGS = {
 }
 
 
-def estimator(kind: str, weight_sum: float = 1.0, settings: str = "script"):
+def estimator(kind: str, weight_sum: float = 1.0, settings: str = "script", trees: int | None = None):
     """The stages of one of the four classifiers in MLlib terms: ``C`` is
     ``regParam`` = 1 / (C * weight sum); the gain floor ``gamma``, a sum over
     the rows, is ``minInfoGain`` = gamma / weight sum; columns are drawn per
-    node and ``min_child`` counts rows. There is no L1 / L2 on leaf values."""
+    node and ``min_child`` counts rows; ``trees`` takes the place of the published
+    number. There is no L1 / L2 on leaf values."""
     if kind not in SETTINGS[settings]:
         raise ValueError(f"unknown model kind {kind!r}")
-    s = SETTINGS[settings][kind]
+    s = SETTINGS[settings][kind] | ({"trees": trees} if trees else {})
     common = {"labelCol": "No_Show", "weightCol": "weight"}
     if kind == "lr":
         # scaling is a stage of the LR pipeline only
@@ -101,9 +102,11 @@ def weighted(train: DataFrame, kind: str, settings: str = "script") -> tuple[Dat
     return M.with_class_weight(train, M.class_weights(train)), float(n0 + n1)
 
 
-def fit(train: DataFrame, kind: str, settings: str = "script") -> PipelineModel:
-    t, wsum = weighted(train, kind, settings)
-    return Pipeline(stages=[_assembler(), *estimator(kind, wsum, settings)]).fit(t)
+def fit(train: DataFrame, kind: str, settings: str = "script", weight: float | None = None,
+        trees: int | None = None) -> PipelineModel:
+    """Fit with the weights of :func:`weighted`, or with ``weight`` for every row."""
+    t, wsum = weighted(train, kind, settings) if weight is None else (train.withColumn("weight", F.lit(weight)), weight * train.count())
+    return Pipeline(stages=[_assembler(), *estimator(kind, wsum, settings, trees)]).fit(t)
 
 
 def score(model: PipelineModel, feats: DataFrame, keep: list[str] = ("Booking_ID",), places: int | None = 4) -> DataFrame:
