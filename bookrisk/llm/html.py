@@ -1,8 +1,9 @@
 """Main text of web pages with removal of site templates.
 
 A page is parsed into elements. Marked-up page furniture goes by its tag,
-role or a whole class name or id (menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts, styles). A class, id or form tag does not
+role, or a class name or id that is such a name or begins or ends with one
+before or after a hyphen (menus, headers, footers, sidebars, notices, adverts,
+forms, comments, scripts, styles). A class, id or form tag does not
 make furniture of an ``article``, a ``main``, what holds one of them or an
 ``h1``, or what holds more than half of the page's text (unless a ``main`` or
 an ``article`` with an ``h1`` stands elsewhere, as by a short page with a long
@@ -37,6 +38,7 @@ import html
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -45,10 +47,15 @@ from pyspark.sql import functions as F
 from bookrisk.llm.common import durable, text_slices
 
 MIN_PAGES = 3
+#: Removal tables of up to this many rows (16 bytes each) are sent to the tasks; larger ones are joined.
+SENT = 500_000
 #: A table cell or list term of fewer words is a value, not template by itself.
 CELL_WORDS = 5
 #: Template is on this share of a host's different pages at least.
 SHARE = 0.25
+#: Inside marked content (article, main), and for running text, on this share: a few pages may quote the same.
+INNER = 0.6
+TEXTUAL = set("p blockquote pre li q figure figcaption h2 h3 h4 h5 h6 td th dt dd".split())
 # ---- fixed values: HTML element classes, names by which sites mark furniture
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -63,13 +70,20 @@ NAMES = set("ad ads adv advert adverts advertisement advertising sponsor sponsor
             "breadcrumb breadcrumbs pagination footer header masthead topbar comment comments commentlist disqus replies "
             "reply related recommended share sharing social newsletter subscribe subscription signup login widget widgets "
             "skip toolbar tags".split())
+#: Parts of hyphenated names that mark furniture, that deny it, and that go before "header".
+PARTS = NAMES - set("header tags rail notice notices widget widgets reply masthead".split())
+DENIED = set("no not non has with without hide open enabled".split())
+SITE = set("site page main top global".split())
+#: What is no text, whatever the lists of names say.
+UNSEEN = set("script style noscript template iframe object embed svg canvas math audio video head title select input textarea button".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CELLS = set("td th dt dd".split())
 CLOSES_P = BLOCK - set("body html caption legend optgroup option summary tbody td tfoot th thead tr".split())
 # ----
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: One attribute; quotes in a name are part of it, a quote that never closes is part of the value.
+_ATTR = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_REST = re.compile(r"[\s/]*")
 _SPACE = re.compile(r"\s+")
 
 
@@ -81,21 +95,49 @@ class Node:
     kids: list = field(default_factory=list)  # Node or str
 
 
-def _furniture(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
+def _attributes(text: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes of the tag whose name ends at ``at``, by lower-case name
+    (the first of a name counts), and the place after its ``>``, or -1 if the
+    page ends inside the tag."""
+    found: dict[str, str] = {}
+    while True:
+        end = _REST.match(text, at).end()
+        if end >= len(text):
+            return found, -1
+        if text[end] == ">":
+            return found, end + 1
+        m = _ATTR.match(text, end)
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+        at = m.end()
+
+
+def _named(value: str, inside: bool) -> bool:
+    """Whether a class or id names furniture: by a whole name, or by the first
+    or last part of a hyphenated one, unless that says what is not there."""
+    for word in value.lower().split():
+        if word in NAMES:
+            if not (word == "header" and inside):
+                return True
+            continue
+        parts = [x for x in re.split(r"[-_]+", word) if x]
+        if len(parts) > 1 and not any(x in DENIED for x in parts):
+            if parts[0] in PARTS or parts[-1] in PARTS or (parts[-1] == "header" and parts[0] in SITE):
+                return True
+    return False
+
+
+def _furniture(tag: str, attrs: dict[str, str], inside: bool, lists: bool) -> tuple[bool, bool]:
     """Whether an element is furniture, and whether it may be by its names."""
+    if not lists:
+        return tag in UNSEEN, False
     if tag != "form" and (tag in FURNITURE or (tag == "header" and not inside)):
         return True, False
-    maybe = tag == "form"
     if tag == "main":
         return False, False
-    for name, *values in _ATTR.findall(attrs):
-        name, value = name.lower(), "".join(values).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
-            return True, False
-        if name in ("class", "id") and tag != "article" and any(
-                word in NAMES and not (word == "header" and inside) for word in value.split()):
-            maybe = True
-    return False, maybe
+    if "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or attrs.get("role", "").strip().lower() in ROLES:
+        return True, False
+    names = tag != "article" and any(_named(attrs[x], inside) for x in ("class", "id") if x in attrs)
+    return False, tag == "form" or names
 
 
 def _settle(root: Node) -> None:
@@ -127,72 +169,89 @@ def _settle(root: Node) -> None:
         node.furniture = node.maybe and not holds and (marked or 2 * size <= total)
 
 
-def parse(page: str | None) -> Node:
-    """Element tree of a page, with the usual implied end tags."""
+class _Open:
+    """The open elements. The places of each tag and of the blocks among them
+    are kept, so that closing does not search the stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks, self.inside = [root], {}, [], 0
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.inside += node.tag in ("article", "main")
+        self.stack.append(node)
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element of these tags, 0 if none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, place: int) -> None:
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+            self.inside -= node.tag in ("article", "main")
+
+
+#: An element that a new one ends, up to the innermost of the second.
+_ENDS = {t: ((t,), ("ul", "ol", "dl", "table", "tbody", "menu", "select") + (() if t == "li" else ("tr",))) for t in ("li", "option", "tr")}
+_ENDS["tr"] = (("tr",), ("ul", "ol", "dl", "table", "tbody", "menu", "select"))
+_ENDS |= {t: (("dd", "dt"), _ENDS["option"][1]) for t in ("dd", "dt")} | {t: (("td", "th"), _ENDS["option"][1]) for t in ("td", "th")}
+
+
+def parse(page: str | None, lists: bool = True) -> Node:
+    """Element tree of a page, with the usual implied end tags. Without
+    ``lists`` only what is no text at all is furniture."""
     text = page or ""
     root = Node("html")
-    stack, at, inside = [root], 0, 0
+    o, at = _Open(root), 0
     while at < len(text):
         m = _TOKEN.search(text, at)
+        kids = o.stack[-1].kids
         if not m:
             tail = text[at:]
             cut = tail.rfind("<")  # a tag that the end of the page cuts off
-            stack[-1].kids.append(tail if cut < 0 or not re.match(r"</?[a-zA-Z!]?[^>]*\Z", tail[cut:]) or tail[cut + 1:cut + 2] in " \t\n" else tail[:cut])
+            kids.append(tail if cut < 0 or not re.match(r"</?[a-zA-Z!]?[^>]*\Z", tail[cut:]) or tail[cut + 1:cut + 2] in " \t\n" else tail[:cut])
             break
         if m.start() > at:
-            stack[-1].kids.append(text[at:m.start()])
+            kids.append(text[at:m.start()])
         at = m.end()
-        closing, tag, attrs = m[1], (m[2] or "").lower(), m[3] or ""
+        closing, tag = m[1], (m[2] or "").lower()
         if not tag:
             if m[0].startswith("<![CDATA["):
-                stack[-1].kids.append(m[0][9:].removesuffix("]]>"))
+                kids.append(m[0][9:].removesuffix("]]>"))
             continue
-        if not m[4]:
+        attrs, at = _attributes(text, at)
+        if at < 0:
             break  # cut off inside a tag
         if closing:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].kids.append(Node("p"))
-                continue
-            limit = 1
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    limit = i
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    limit = 0  # an inline end tag does not close a block
-                    break
-            else:
-                limit = 0
-            if limit:
-                inside -= sum(n.tag in ("article", "main") for n in stack[limit:])
-                del stack[limit:]
+            place = o.last(tag)
+            if tag == "p" and not place:
+                kids.append(Node("p"))
+            elif place and (tag in BLOCK or not o.blocks or o.blocks[-1] < place):
+                o.close(place)  # an inline end tag does not close a block
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
-        if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag or {stack[i].tag, tag} <= {"dd", "dt"} or {stack[i].tag, tag} <= {"td", "th"}:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("ul", "ol", "dl", "table", "tbody", "menu", "select") or (tag != "li" and stack[i].tag == "tr"):
-                    break
+        if tag in CLOSES_P and o.blocks and o.stack[o.blocks[-1]].tag == "p":
+            o.close(o.blocks[-1])
+        if tag in _ENDS:
+            ended, within = _ENDS[tag]
+            place = o.last(*ended)
+            if place and place > o.last(*(x for x in within if x not in ended)):
+                o.close(place)
         if tag in ("html", "body"):
             continue
-        node = Node(tag, *_furniture(tag, attrs, inside > 0))
-        stack[-1].kids.append(node)
+        node = Node(tag, *_furniture(tag, attrs, o.inside > 0, lists))
+        o.stack[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(text, at)
             if tag == "textarea" or tag == "title":
                 node.kids.append(text[at:end.start() if end else len(text)])
             at = end.end() if end else len(text)
-        elif tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK):
-            stack.append(node)
-            inside += tag in ("article", "main")
+        elif tag not in VOID and not (text[at - 2] == "/" and tag not in BLOCK):
+            o.push(node)
     _settle(root)
     return root
 
@@ -332,10 +391,10 @@ def subtree_hashes(regions: list[Node], title: str = "") -> dict[int, tuple[int,
     return {n: (h, n in counted, n in counted and not own and 2 * size <= total, size) for n, (h, size, own, _) in info.items()}
 
 
-def candidates(page: str | None) -> tuple[int, list[int]]:
+def candidates(page: str | None, lists: bool = True) -> tuple[int, list[int]]:
     """Hash of a page's main region, and the distinct hashes of its subtrees
     whose pages are counted."""
-    root = parse(page)
+    root = parse(page, lists)
     regions = main_regions(root)
     info = subtree_hashes(regions, title_of(root))
     main = xxhash.xxh64_intdigest(",".join(str(info[id(r)][0]) for r in regions)) - (1 << 63)
@@ -345,56 +404,107 @@ def candidates(page: str | None) -> tuple[int, list[int]]:
 def _template(regions: list[Node], removed: dict[int, int], title: str) -> set[int]:
     """The nodes to delete: subtrees by their number of pages, as long as not
     more than half of the text is on so many pages. Near copies of a page
-    share most of it; only what is on more pages than they are is template."""
+    share most of it; only what is on more pages than they are is template. A
+    negative number of pages is a share below ``INNER``: enough outside marked
+    content only, and not for running text."""
     info = subtree_hashes(regions, title)
-    at = {id(n): n for n in _nodes(regions)}
     total = sum(info[id(r)][3] for r in regions)
+    marked = {id(n) for r in regions if r.tag in ("article", "main") for n in _nodes([r])}
+    tags = {id(n): n.tag for n in _nodes(regions)}
+    pages = {n: abs(c) for n, (h, counted, _, _) in info.items() if counted and (c := removed.get(h, 0))
+             and (c > 0 or (n not in marked and tags[n] not in TEXTUAL))}
     gone: set[int] = set()
-    for level in sorted(set(removed.values()), reverse=True):
-        more = {n for n, (h, counted, _, _) in info.items() if counted and removed.get(h, 0) >= level}
-        inner = {id(k) for n in more for k in _nodes([at[n]])[1:]}
-        if 2 * sum(info[n][3] for n in more - inner) > total:
+    for level in sorted(set(pages.values()), reverse=True):
+        more, size, todo = set(), 0, list(regions)
+        while todo:  # the outermost of those on so many pages
+            node = todo.pop()
+            if pages.get(id(node), 0) >= level:
+                size += info[id(node)][3]
+                more.add(id(node))
+            else:
+                todo += [k for k in node.kids if isinstance(k, Node) and not k.furniture]
+        if 2 * size > total:
             break
-        gone = {n for n in more if info[n][2]}
+        gone = {n for n, c in pages.items() if c >= level and info[n][2]}
     return gone
 
 
-def extract(page: str | None, removed: dict[int, int] | None = None) -> str:
+def extract(page: str | None, removed: dict[int, int] | None = None, lists: bool = True) -> str:
     """Text of a page without the subtrees of ``removed`` (hash -> pages)."""
-    root = parse(page)
+    root = parse(page, lists)
     return "\n".join(blocks(main_regions(root), removed, title_of(root) if removed else ""))
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, id_col: str = "page_id", url_col: str = "url",
-              html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars), one row per input row."""
+              html_col: str = "html", lists: bool = True) -> DataFrame:
+    """(page_id, url, text, n_chars), one row per input row. Without ``lists``
+    recurrence alone tells furniture from content."""
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    src = src.withColumns({"host": F.xxhash64(host), "k": F.xxhash64("url", "html")})
+    src = src.withColumn("host", F.xxhash64(host))
 
     def hashed(batches):
         for b in batches:
-            found = [candidates(t) for part in text_slices(b.column(2)) for t in part]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([m for m, _ in found], pa.int64()),
-                                   pa.array([h for _, h in found], pa.list_(pa.int64()))], names=["host", "k", "main", "hashes"])
-    # one row per page; a subtree h of a host is the key h ^ host
-    seen = durable(src.select("host", "k", "html").mapInArrow(hashed, "host long, k long, main long, hashes array<long>"))
+            found = [candidates(t, lists) for part in text_slices(b.column(1)) for t in part]
+            yield pa.record_batch([b.column(0), pa.array([m for m, _ in found], pa.int64()),
+                                   pa.array([h for _, h in found], pa.list_(pa.int64()))], names=["host", "main", "hashes"])
     # every main text of a host once, so that copies of a page do not make its parts template
-    distinct = seen.groupBy("host", "main").agg(F.first("hashes").alias("hashes"))
+    seen = src.select("host", "html").mapInArrow(hashed, "host long, main long, hashes array<long>")
+    distinct = durable(seen.groupBy("host", "main").agg(F.first("hashes").alias("hashes")))
+    # a subtree h of a host is the key h ^ host
     key = F.col("host").bitwiseXOR(F.col("h")).alias("g")
     held = distinct.select("host", F.explode("hashes").alias("h")).groupBy("host", key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    sizes = seen.select("host", "main").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    common = durable(held.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).select("g", "n"))
-    gone = (seen.select("k", "host", F.explode("hashes").alias("h")).select("k", "h", key).join(common, "g")
-            .groupBy("k").agg(F.collect_set(F.struct("n", "h")).alias("gone")))
+    sizes = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    often = F.when(F.col("n") >= INNER * F.col("pages"), F.col("n")).otherwise(-F.col("n")).alias("n")
+    common = durable(held.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).select("g", often))
+    kind = dict(src.dtypes)["page_id"]
+    schema = f"page_id {kind}, url string, text string, n_chars long"
+
+    def out(b, texts):
+        return pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                               names=["page_id", "url", "text", "n_chars"])
+    few = common.limit(SENT + 1).count() <= SENT
+    if few:
+        rows = common.orderBy("g").toArrow()
+        sent = src.sparkSession.sparkContext.broadcast((rows["g"].to_numpy(), rows["n"].to_numpy()))
+
+        def texts(batches):
+            keys, counts = sent.value
+            for b in batches:
+                found = []
+                hosts = b.column("host").to_pylist()
+                for i, page in enumerate(t for part in text_slices(b.column("html")) for t in part):
+                    found.append(extract(page, _Removed(hosts[i], keys, counts) if len(keys) else None, lists))
+                yield out(b, found)
+        return src.select("page_id", "url", "html", "host").mapInArrow(texts, schema)
+
+    # rows are told apart by what they hold; equal ones get equal lists
+    row = F.xxhash64("host", "html").alias("k")
+    hashes = src.select(row, "host", "html").dropDuplicates(["k"])
+
+    def each(batches):
+        for b in batches:
+            found = [candidates(t, lists)[1] for part in text_slices(b.column(2)) for t in part]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["k", "host", "hashes"])
+    listed = hashes.mapInArrow(each, "k long, host long, hashes array<long>").select("k", F.explode("hashes").alias("h"), "host")
+    gone = durable(listed.select("k", "h", key).join(common, "g").groupBy("k").agg(F.collect_set(F.struct("n", "h")).alias("gone")))
 
-    def texts(batches):
+    def joined(batches):
         for b in batches:
-            out, gone = [], b.column(3).to_pylist()
-            for i, page in enumerate(t for part in text_slices(b.column(2)) for t in part):
-                out.append(extract(page, {x["h"]: x["n"] for x in gone[i] or ()}))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
-                                  names=["page_id", "url", "text", "n_chars"])
-    kind = dict(src.dtypes)["page_id"]
-    return (src.join(gone, "k", "left").select("page_id", "url", "html", "gone")
-            .mapInArrow(texts, f"page_id {kind}, url string, text string, n_chars long"))
+            found, gone = [], b.column("gone").to_pylist()
+            for i, page in enumerate(t for part in text_slices(b.column("html")) for t in part):
+                found.append(extract(page, {x["h"]: x["n"] for x in gone[i] or ()}, lists))
+            yield out(b, found)
+    return (src.select("page_id", "url", "html", row).join(gone, "k", "left").select("page_id", "url", "html", "gone").mapInArrow(joined, schema))
+
+
+class _Removed:
+    """The removal table of a host: ``get`` by subtree hash."""
+
+    def __init__(self, host: int, keys: np.ndarray, counts: np.ndarray):
+        self.host, self.keys, self.counts = host, keys, counts
+
+    def get(self, h: int, default: int = 0) -> int:
+        g = h ^ self.host
+        i = int(self.keys.searchsorted(g))
+        return int(self.counts[i]) if i < len(self.keys) and self.keys[i] == g else default
