@@ -58,9 +58,8 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Sources weigh 3, 1, 2 by turns and share 150 % of all words, each at most twice its size."""
-    docs = mixing.sized(table(spark, sf, "documents"))
-    rows = durable(docs.select("doc_id", "source", mixing.SIZE, mixing.DRAW, mixing.SOURCE, mixing.ID, mixing.HEAVY))
-    return mixing.mix(rows).select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken", "source", "_mix.copies")
+    rows = durable(mixing.sized(table(spark, sf, "documents"), keep=["doc_id", "source"]))
+    return mixing.mixed(rows).select("row.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "row.source", "mix.copies")
 
 
 OP6_SQL = """

@@ -426,6 +426,47 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert ids[4] <= ids[3] and P.run(spark, sf).count() == docs.count()
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline as P
+    names = ["target", "part", "whole", "before", "rank", "range", "_mix", "mix_size", "mix_taken", "__lang", "__row", "__quality", "rest", "mean", "source_size",
+             "p_source", "r_source", "ahead", "row", "mix", "key", "n", "t", "judged", "_mix_size", "factor", "u", "fp", "score", "a.b"]
+    good = texts(40, 61)
+    rows = [(i, t) for i, t in enumerate(good)] + [(100, good[0])]
+    base = spark.createDataFrame([(i, t, "xx", f"s{i % 3}", len(t)) for i, t in rows], DOC)
+    docs = base.withColumns({f"{c}": F.concat(F.lit(f"{c}-"), F.col("doc_id")) for c in names})
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 2)] + [(999, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, texts(1, 99, 30)[0])], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.columns[:len(docs.columns)] == docs.columns, name
+        assert len({c.lower() for c in out.columns}) == len(out.columns)
+        got = out.collect()
+        assert got, name
+        for r in got:
+            assert all(r[c] == f"{c}-{r['doc_id']}" for c in names), name
+            assert r["text"] == dict(rows)[r["doc_id"]]
+
+
+def test_mixing_by_weight_shares_what_heavy_rows_cannot_take(spark):
+    from bookrisk.llm.mixing import mix, sized
+    rows = [(i, "w " * 10, "a", "s", 100.0 if i < 5 else 1.0) for i in range(105)]
+    df = spark.createDataFrame([(i, t, la, s, 20, w) for i, t, la, s, w in rows], DOC + ", weight double")
+    taken, heavy = {}, 0
+    for salt in range(12):
+        got = mix(sized(df, weight="weight", salt=f"z{salt}"), share=0.5, weighted=True).select("doc_id", "_mix.*").collect()
+        assert abs(sum(r["taken"] for r in got) - 525) <= 10 and max(r["copies"] for r in got) <= 2
+        heavy += sum(r["copies"] for r in got if r["doc_id"] < 5)
+        for r in got:
+            taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["copies"]
+    assert heavy == 12 * 10  # the heavy rows are full
+    light = [taken[i] / 12 for i in range(5, 105)]
+    assert abs(sum(light) / 100 - 0.425) < 0.02 and max(light) < 1
+    odd = df.withColumn("weight", F.when(F.col("doc_id") % 2 == 0, F.lit(None)).otherwise(F.col("weight")))
+    assert mix(sized(odd, weight="weight"), weighted=True).count() == 105
+    assert mix(sized(df.limit(0), weight="weight"), weighted=True).count() == 0
+
+
 def test_near_dedup_stage_judges_rows(spark):
     import corpus_pipeline as P
     a, b, c, d = texts(4, 79)
