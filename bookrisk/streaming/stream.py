@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from bookrisk.operators.rules import evaluate
 from bookrisk.operators.score import score_frozen
+from bookrisk.operators.sketches import latency_sketch, quantiles
 from bookrisk.operators.stores import risk_score_rows
 
 DEDUP_WATERMARK = "30 days"
@@ -41,13 +42,16 @@ def score_to_store(stream: DataFrame, model_version: str) -> DataFrame:
     return risk_score_rows(evaluate(score_frozen(stream)), model_version)
 
 
-def tumbling_ops(log: DataFrame, window: str = "1 minute", watermark: str = OPS_WATERMARK) -> DataFrame:
-    """Failure / null-feature rates and mean latency per tumbling window."""
-    return (log.withWatermark("ts", watermark)
-            .groupBy(F.window("ts", window).alias("w"))
-            .agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.avg("failed").alias("failure_rate"),
-                 F.avg("null_feature").alias("null_feature_rate"), F.avg("latency_ms").alias("mean_latency_ms"))
-            .select(F.col("w.start").alias("window_start"), "n", "failure_rate", "null_feature_rate", "mean_latency_ms"))
+def tumbling_ops(log: DataFrame, window: str = "1 minute", watermark: str | None = OPS_WATERMARK) -> DataFrame:
+    """Failure / null-feature rates, latency mean, P50 and P99 per tumbling
+    window; ``latency`` is the sketch they come from, which is the window's state."""
+    rows = log if watermark is None else log.withWatermark("ts", watermark)
+    g = rows.groupBy(F.window("ts", window).alias("w")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"), F.avg("failed").alias("failure_rate"),
+        F.avg("null_feature").alias("null_feature_rate"), F.avg("latency_ms").alias("mean_latency_ms"),
+        latency_sketch("latency_ms").alias("latency"))
+    return g.select(F.col("w.start").alias("window_start"), "n", "failure_rate", "null_feature_rate", "mean_latency_ms",
+                    *quantiles("latency"), "latency")
 
 
 def sliding_rate(bookings: DataFrame, length: str = "28 days", slide: str = "7 days",
