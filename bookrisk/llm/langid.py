@@ -13,8 +13,8 @@ matrix, and a batch of texts is scored by one product of its presence matrix
 with it.
 
 n-grams are hashed into 2^18 cells. Bounds: at most ``per_language`` sample
-rows and ``landmarks`` landmarks per language, ``max_languages`` languages
-(the most frequent); the model does not grow with the corpus.
+rows and ``landmarks`` landmarks per language; the model grows with the number
+of languages, every one of which is learned, not with the corpus.
 
 Defined results: null text or text without a letter gives ``und`` and score
 0; with no usable training row every text is ``und``; ties go to the language
@@ -109,12 +109,12 @@ def fit(sets: list[np.ndarray], labels: list[str], landmarks: int = 64, ridge: f
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key: Column | None = None,
-          per_language: int = 300, landmarks: int = 64, max_languages: int = 200) -> Model:
+          per_language: int = 300, landmarks: int = 64) -> Model:
     """Fit on a bounded sample of the rows that have a language. ``key``: the
     column by whose hash the sample is drawn (default: the text)."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
                        uniform(key if key is not None else text_col, salt="langid").alias("u")).where("lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return Model([], np.full(CELLS, -1, dtype=np.int32), np.zeros((0, 0), dtype=np.float32))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(per_language / r["count"]))])

@@ -5,7 +5,7 @@
 are ``revisit`` records that name it and keep only the HTTP header. Records
 are written by Spark's text writer, whose line end is the blank line that
 ends a record, so archives land in any shared file system with the usual
-commit protocol; no file has more than ``records_per_file`` records.
+commit protocol; files are bounded by records and by bytes.
 
 ``read`` takes archives (plain, or gzip with one member per record) as rows
 of bytes and checks every record: version line, header, Content-Length,
@@ -83,10 +83,24 @@ def records(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_c
     return p.select("page_id", F.concat(head, block).alias("record"))
 
 
-def write(pages: DataFrame, path: str, records_per_file: int = 2000, **how) -> None:
-    """Write archives of ``pages`` into the folder ``path``."""
-    (records(pages, **how).select("record").write.option("lineSep", "\r\n\r\n")
-     .option("maxRecordsPerFile", records_per_file).text(path))
+def write(pages: DataFrame, path: str, records_per_file: int = 2000, bytes_per_file: int = 1 << 26, **how) -> None:
+    """Write archives of ``pages`` into the folder ``path``. A file holds at
+    most ``records_per_file`` records and, but for a single larger record,
+    about ``bytes_per_file`` bytes: records go to files by their size, small
+    ones ``records_per_file`` at a time, those above ``bytes_per_file`` over
+    that number fewer at a time, 64 times larger ones fewer again."""
+    rows = records(pages, **how).select("record", F.octet_length("record").alias("bytes"))
+    html, url = (F.octet_length(F.col(how.get(c, d)).cast("string")) for c, d in (("html_col", "html"), ("url_col", "url")))
+    largest = (pages.agg(F.max(F.coalesce(html, F.lit(0)) + F.coalesce(url, F.lit(0)))).first()[0] or 0) + 4096
+    least, number = -1, records_per_file
+    while True:
+        most = bytes_per_file // number
+        one = number == 1
+        part = rows.where((F.col("bytes") > least) & (F.lit(one) | (F.col("bytes") <= most)))
+        part.select("record").write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", number).text(path)
+        if one or largest <= most:
+            return
+        least, number = most, max(1, number // 64)
 
 
 # ------------------------------------------------------------------- reader
@@ -109,8 +123,8 @@ class Damaged(ValueError):
     """A check of a record failed."""
 
 
-def _headers(data: bytes, at: int, limit: int) -> tuple[dict[str, str], int]:
-    end = data.find(b"\r\n\r\n", at, limit)
+def _headers(data: bytes, at: int) -> tuple[dict[str, str], int]:
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise Damaged("header without end")
     out: dict[str, str] = {}
@@ -127,7 +141,7 @@ def parse_record(data: bytes, at: int) -> tuple[Record, int]:
     m = VERSION.match(data, at)
     if not m:
         raise Damaged("no version line")
-    headers, body = _headers(data, m.end(), min(len(data), m.end() + (1 << 20)))
+    headers, body = _headers(data, m.end())
     size = headers.get("content-length", "")
     if not size.isascii() or not size.isdigit():
         raise Damaged("no content length")

@@ -343,6 +343,28 @@ def test_warc_round_trip(spark, tmp_path):
         if x["record_type"] == "response" and x["page_id"]:
             assert bytes(x["payload"]) == (next(h for i, _, h in rows if i == x["page_id"]) or "").encode()
     assert {x["payload_bytes"] for x in got if x["page_id"] in (2, 3, 5)} == {4}
+    small = os.path.join(str(tmp_path), "small")  # files bounded by bytes: the large records apart from the others
+    warc.write(pages, small, records_per_file=100, bytes_per_file=100_000)
+    again = warc.read(spark, small).collect()
+    assert sorted((x["page_id"] or 0, x["payload_bytes"]) for x in again) == sorted((x["page_id"] or 0, x["payload_bytes"]) for x in got)
+    files = {}
+    for x in again:
+        files.setdefault(x["file"], []).append(x["length"])
+    assert all(len(v) == 1 for v in files.values() if max(v) > 100_000) and sum(max(v) > 100_000 for v in files.values()) == 2
+    long = spark.createDataFrame([(1, "http://a/" + "u" * (3 << 20), "<p>x")], "page_id long, url string, html string")
+    warc.write(long, path + "l")
+    (one,) = warc.read(spark, path + "l").collect()
+    assert one["kind"] == "record" and len(one["uri"]) > 3 << 20
+    name = [f for f in os.listdir(path) if f.startswith("part") and os.path.getsize(os.path.join(path, f))][0]
+    with open(os.path.join(path, name), "rb") as f:
+        whole = f.read()
+    hurt = os.path.join(str(tmp_path), "hurt")
+    os.mkdir(hurt)
+    with open(os.path.join(hurt, "a.warc"), "wb") as f:
+        f.write(b"noise\r\n" + whole + whole[:50])
+    back = warc.read(spark, hurt).orderBy("offset").collect()
+    assert back[0]["kind"] == back[-1]["kind"] == "gap" and (back[0]["offset"], back[0]["length"], back[0]["reason"]) == (0, 7, "no version line")
+    assert sum(x["length"] for x in back) == len(whole) + 57 and all(x["kind"] == "record" for x in back[1:-1]) and len(back) > 2
     warc.write(pages.limit(0), path + "0")
     assert warc.read(spark, path + "0").count() == 0
 
