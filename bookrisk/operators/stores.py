@@ -9,6 +9,8 @@ and then to the matching row groups. Joins between the large tables are on
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,26 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _bucketed_name(path: str) -> str:
+    return "bucketed_" + hashlib.md5(path.encode()).hexdigest()
+
+
+def write_bucketed(df: DataFrame, path: str, key: str = "booking_id", buckets: int | None = None) -> None:
+    """Parquet in ``path``, one sorted file per bucket of ``key``, known to the
+    catalog: joins and aggregates on the key read it without a shuffle, and
+    tables of one number of buckets (default: the session's shuffle
+    partitions) join bucket by bucket. The key should be close to unique; a
+    store that is read by time keeps the layout of :func:`write_partitioned`."""
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(buckets, key).sortWithinPartitions(key).write.mode("overwrite").option("path", path)
+     .bucketBy(buckets, key).sortBy(key).saveAsTable(_bucketed_name(path)))
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.table(_bucketed_name(path))
+
+
 # ------------------------------------------------------------------ lookups
 def lookup_table(spark: SparkSession, mapping: dict, key: str, value: str, value_type: str) -> DataFrame:
     """A fixed-size dimension table (a handful of rows, safe to broadcast)."""
@@ -109,9 +131,9 @@ def log_per_booking(log: DataFrame) -> DataFrame:
 
 def booking_score_log(bookings: DataFrame, scores: DataFrame, log: DataFrame) -> DataFrame:
     """bookings LEFT JOIN latest score LEFT JOIN per-booking log summary.
-    All three sides are keyed by booking id, so both joins reuse one
-    hash partitioning of the key."""
-    b = bookings.withColumnRenamed("Booking_ID", "booking_id")
+    All three sides are keyed by booking id: stored in buckets of it they join
+    without a shuffle, else both joins reuse one hash partitioning of the key."""
+    b = bookings if "booking_id" in bookings.columns else bookings.withColumnRenamed("Booking_ID", "booking_id")
     return (b.join(latest_scores(scores), "booking_id", "left")
             .join(log_per_booking(log), "booking_id", "left")
             .withColumns({"n_touches": F.coalesce("n_touches", F.lit(0)),
@@ -145,8 +167,8 @@ def customer_score_history(scores: DataFrame, bookings: DataFrame, **how) -> Dat
     """Scores by (customer, scored_at) with the change from the customer's
     previous score. Skew-safe lag: a hot customer is split into time
     buckets instead of one task."""
-    s = scores.join(bookings.select(F.col("Booking_ID").alias("booking_id"), F.col("Customer_ID").alias("customer_id")),
-                    "booking_id")
+    b = bookings if "booking_id" in bookings.columns else bookings.withColumnRenamed("Booking_ID", "booking_id")
+    s = scores.join(b.select("booking_id", F.col("Customer_ID").alias("customer_id")), "booking_id")
     out = previous_values(s, "customer_id", "scored_at", "booking_id", ["no_show_probability"], **how)
     return out.withColumn("change", F.col("no_show_probability") - F.col("prev_no_show_probability"))
 

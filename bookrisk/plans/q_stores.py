@@ -48,6 +48,24 @@ def intervention_log(spark, sf) -> DataFrame:
     return ST.read_store(spark, path).drop("month")
 
 
+def _bucketed(spark, sf, name, rows) -> DataFrame:
+    path = C.stored(spark, sf, name + "_by_booking", lambda p: ST.write_bucketed(rows(spark, sf), p))
+    return ST.read_bucketed(spark, path)
+
+
+def bookings_by_booking(spark, sf) -> DataFrame:
+    """The bookings in buckets of the booking id, which joins use without a shuffle."""
+    return _bucketed(spark, sf, "bookings", lambda spark, sf: C.bk(spark, sf).withColumnRenamed("Booking_ID", "booking_id"))
+
+
+def scores_by_booking(spark, sf) -> DataFrame:
+    return _bucketed(spark, sf, "scores", risk_scores)
+
+
+def log_by_booking(spark, sf) -> DataFrame:
+    return _bucketed(spark, sf, "log", intervention_log)
+
+
 # ---------------------------------------------------------------- SQL side
 STORES = scored_actions("_v2", CARDS["rf"]) + f""",
 rs AS (
@@ -124,7 +142,7 @@ SELECT b.Booking_ID AS booking_id, b.Customer_ID, l.no_show_probability, l.model
   CAST(coalesce(lp.n_touches, 0) AS BIGINT) AS n_touches, CAST(coalesce(lp.n_confirmed, 0) AS BIGINT) AS n_confirmed,
   CAST(coalesce(lp.n_bounced, 0) AS BIGINT) AS n_bounced, {TS('lp.last_sent_at')} AS last_sent_at
 FROM bk b LEFT JOIN latest l ON l.booking_id = b.Booking_ID LEFT JOIN lp ON lp.booking_id = b.Booking_ID""")(
-    lambda spark, sf: C.texts(ST.booking_score_log(C.bk(spark, sf), risk_scores(spark, sf), intervention_log(spark, sf))
+    lambda spark, sf: C.texts(ST.booking_score_log(bookings_by_booking(spark, sf), scores_by_booking(spark, sf), log_by_booking(spark, sf))
                               .select("booking_id", "Customer_ID", "no_show_probability", "model_version", "n_touches",
                                       "n_confirmed", "n_bounced", "last_sent_at")))
 
@@ -143,7 +161,7 @@ SELECT Booking_ID, Outcome FROM bk WHERE CAST(Appointment_Time AS DATE) >= DATE
 
 # ---------------------------------------------------------------- §2.6 windows
 query("win_latest_score", WS + f", {_LATEST} SELECT {RS_COLS} FROM latest")(
-    lambda spark, sf: C.texts(ST.latest_scores(risk_scores(spark, sf))).select(*ST.RISK_SCORE_COLUMNS))
+    lambda spark, sf: C.texts(ST.latest_scores(scores_by_booking(spark, sf))).select(*ST.RISK_SCORE_COLUMNS))
 
 _HIST_SQL = WS + f"""
 , cs AS (SELECT rs.*, bk.Customer_ID AS customer_id FROM rs JOIN bk ON bk.Booking_ID = rs.booking_id)
@@ -154,7 +172,7 @@ FROM cs WINDOW w AS (PARTITION BY customer_id ORDER BY scored_at, booking_id)"""
 
 
 def _history(spark, sf, **how):
-    out = ST.customer_score_history(risk_scores(spark, sf), C.bk(spark, sf), **how)
+    out = ST.customer_score_history(scores_by_booking(spark, sf), bookings_by_booking(spark, sf), **how)
     out = out.withColumn("change", F.round("change", 6))
     return C.texts(out.select("customer_id", "booking_id", "scored_at", "model_version", "no_show_probability",
                               "prev_no_show_probability", "change"))
