@@ -3,10 +3,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookrisk.functions.columns import edge_hour, elapsed_days_floor, safe_ratio
+from bookrisk.operators.quantiles import in_ranges
 from bookrisk.sources import schema as S
 
 
@@ -92,12 +93,49 @@ def add_interactions(df: DataFrame) -> DataFrame:
     })
 
 
+def levels(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, level): every distinct non-null level, counted out before the shuffle."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("level")) for c in cols]))
+    return df.select(each.alias("x")).select("x.*").where("level is not null").distinct()
+
+
+#: A level becomes a column only up to so many; beyond, see :func:`level_table`.
+WIDE_LEVELS = 2000
+
+
 def fit_levels(df: DataFrame, cols: list[str] = S.ENCODED_COLUMNS) -> dict[str, list[str]]:
-    """Sorted distinct levels per categorical (the encoder's fit). One small
-    aggregate row; bounded by the number of levels, not by rows."""
+    """Sorted distinct levels per categorical (the encoder's fit), for columns
+    that become 0/1 columns. Never more than ``WIDE_LEVELS`` of them reach the
+    driver: more raise ValueError, since so many columns make no table."""
     cols = [c for c in cols if c in df.columns]
-    row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols]).first()
-    return {c: list(row[c]) for c in cols}
+    rows = levels(df, cols).limit(WIDE_LEVELS + 1).collect() if cols else []
+    if len(rows) > WIDE_LEVELS:
+        raise ValueError(f"more than {WIDE_LEVELS} levels: encode them with level_table and encode_levels")
+    return {c: sorted(r["level"] for r in rows if r["column"] == c) for c in cols}
+
+
+def level_table(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, level, position): the encoder's fit for columns of any
+    cardinality, as a table. Positions count the levels of each column in
+    code-point order from 0, on two levels of ranges, so no task orders a whole
+    column and nothing reaches the driver."""
+    ranged = in_ranges(levels(df, cols), "column", "level")
+    sizes = ranged.groupBy("column", "_r").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("column").orderBy("_r")
+    sizes = sizes.select(F.col("column").alias("_c"), F.col("_r").alias("_q"), (F.sum("_n").over(before) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("column", "_r").orderBy("level")) - 1
+    return (ranged.withColumn("_i", inside).join(sizes, (F.col("column") == F.col("_c")) & (F.col("_r") == F.col("_q")))
+            .select("column", "level", (F.col("_before") + F.col("_i")).cast("bigint").alias("position")))
+
+
+def encode_levels(df: DataFrame, table: DataFrame, cols: list[str]) -> DataFrame:
+    """Each column replaced by the position of its level (unknown or null:
+    null). The planner sends a small dictionary to the tasks and shuffles for a
+    large one; a level with most of the rows is split by AQE."""
+    for i, c in enumerate(cols):
+        part = table.where(F.col("column") == c).select(F.col("level").alias(f"_l{i}"), F.col("position").alias(f"_p{i}"))
+        df = df.join(part, F.col(f"`{c}`").cast("string") == F.col(f"_l{i}"), "left").withColumn(c, F.col(f"_p{i}")).drop(f"_l{i}", f"_p{i}")
+    return df
 
 
 def one_hot(df: DataFrame, levels: dict[str, list[str]], drop_first: bool = True) -> DataFrame:

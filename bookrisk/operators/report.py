@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bookrisk.operators.features import levels
 from bookrisk.operators.quantiles import quantiles, with_quantiles
 from bookrisk.sources import schema as S
 
@@ -247,11 +248,14 @@ def capped_distribution(df: DataFrame) -> DataFrame:
 
 
 def nunique_levels(df: DataFrame, cols: list[str] = S.ENCODED_COLUMNS) -> DataFrame:
-    one = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols])
-    long = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("lv"))
-                                          for c in cols])).alias("x")).select("x.*")
-    return long.select("column_name", F.size("lv").cast("bigint").alias("n_levels"),
-                       F.array_join("lv", ", ").alias("levels"))
+    """Number and list of the distinct levels of each column. Levels are made
+    distinct before they are gathered; the list is a cell of the report, so it
+    suits columns that are read by people (else see :mod:`bookrisk.operators.distinct`)."""
+    found = levels(df, cols).groupBy("column").agg(F.count(F.lit(1)).cast("bigint").alias("n_levels"),
+                                                   F.array_join(F.array_sort(F.collect_list("level")), ", ").alias("levels"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    return names.join(found, F.col("column_name") == F.col("column"), "left").select(
+        "column_name", F.coalesce("n_levels", F.lit(0)).cast("bigint").alias("n_levels"), F.coalesce("levels", F.lit("")).alias("levels"))
 
 
 def min_max_mean(df: DataFrame, cols: list[str] = ("Lead_Time_Days", "Appt_Hour"), places: int = 2) -> DataFrame:
@@ -289,13 +293,13 @@ def target_corr(df: DataFrame, feature: str = "Customer_Latent_Risk", target: st
 
 def boxplot(df: DataFrame, cols: list[str] = BEHAVIOUR_COLUMNS, by: str = "Outcome", k: float = 1.5) -> DataFrame:
     """Quartiles, whiskers at the furthest datum within k*IQR, outlier count,
-    per (group, column). The quartile table has one row per group and column
-    and is broadcast back for the whisker pass."""
+    per (group, column). The quartile table has one row per group and column;
+    the planner sends it to the tasks while it is small."""
     long = unpivot_values(df, cols, keep=[by]).where(F.col("value").isNotNull())
     q = quantiles(long, [by, "column_name"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     lo = F.col("q1") - k * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + k * (F.col("q3") - F.col("q1"))
-    j = long.join(F.broadcast(q), [by, "column_name"])
+    j = long.join(q, [by, "column_name"])
     return j.groupBy(by, "column_name", "q1", "median", "q3").agg(
         F.min(F.when(F.col("value") >= lo, F.col("value"))).alias("whisker_lo"),
         F.max(F.when(F.col("value") <= hi, F.col("value"))).alias("whisker_hi"),

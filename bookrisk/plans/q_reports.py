@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bookrisk.operators import distinct as DS
 from bookrisk.operators import features as FE
 from bookrisk.operators import report as RP
 from bookrisk.plans import common as C
@@ -173,6 +174,15 @@ SELECT Booking_Lead_Time_Days AS lead_days, risk_level, CAST(count(*) AS BIGINT)
 query("agg_distinct_branches", with_("bk") + "SELECT CAST(count(DISTINCT Branch) AS BIGINT) AS n_branches FROM bk")(
     lambda spark, sf: RP.distinct_branches(C.bk(spark, sf)))
 
+
+@query("agg_distinct_sketched")
+def agg_distinct_sketched(spark, sf):
+    """Levels and customers per year, from the monthly sketches."""
+    cols = ["Customer_ID", *S.ENCODED_COLUMNS]
+    months = DS.monthly(C.bk(spark, sf), cols, "Appointment_Time")
+    return DS.counts(DS.merged(months, F.substring("month", 1, 4).alias("year")))
+
+
 query("agg_day_rate", with_("bk", extra=EDA) + f"""
 SELECT Day_of_Week, round_even(avg(No_Show) * 100, 1) AS no_show_rate, CAST({DAY_IDX} AS INTEGER) AS day_index
 FROM eda GROUP BY Day_of_Week""")(lambda spark, sf: RP.day_rate(eda(spark, sf)))

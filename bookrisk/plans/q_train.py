@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bookrisk.functions.hashing import uniform_sql as h
+from bookrisk.operators import features as FE
 from bookrisk.operators import metrics as M
+from bookrisk.operators import pipeline as PL
 from bookrisk.operators import smote as SM
 from bookrisk.operators import train as TR
 from bookrisk.operators.neighbours import nearest
@@ -207,3 +209,19 @@ def smote_oversample(spark, sf):
     cut = M.threshold_max_recall(M.pr_curve(lr, by), 0.40, by=by).select(*by, "threshold")
     tuned = M.confusion_with_auc(lr.join(cut, by), F.col("threshold"), [*by, "threshold"])
     return fixed.unionByName(tuned.withColumn("training", F.lit("smote, tuned"))).withColumn("auc", F.bround("auc", 4))
+
+
+@query("train_feature_sets")
+def train_feature_sets(spark, sf):
+    """LR on each feature set: features fitted on the train rows, the whole
+    pipeline saved, loaded, and applied to raw bookings; test metrics and gap."""
+    rows = M.split_two(FE.add_target(C.bk(spark, sf)))
+    out = None
+    for which in PL.SETS:
+        path = C.stored(spark, sf, f"pipeline-{which}",
+                        lambda p, w=which: TR.save(PL.fit(rows.where("split = 'train'").drop("split"), w, "lr"), p))
+        scored = TR.score(TR.load(path), C.bk(spark, sf), places=None).join(rows.select("Booking_ID", "No_Show", "split"), "Booking_ID")
+        one = M.confusion_with_auc(scored.select(F.lit(which).alias("feature_set"), "split", F.col("no_show_probability").alias("score"),
+                                                 F.col("No_Show").alias("label")), 0.5, ["feature_set", "split"])
+        out = one if out is None else out.unionByName(one)
+    return out
