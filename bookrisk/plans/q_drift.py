@@ -13,6 +13,7 @@ from bookrisk.operators import drift as D
 from bookrisk.operators import features as FE
 from bookrisk.operators import metrics as M
 from bookrisk.operators import stores as ST
+from bookrisk.operators import summaries as SU
 from bookrisk.operators.split import stratified_sql
 from bookrisk.plans import common as C
 from bookrisk.plans.catalog import query
@@ -103,6 +104,33 @@ SELECT feature, round(psi, 6) AS psi, CASE WHEN psi < 0.1 THEN 'no significant d
   THEN 'moderate drift' ELSE 'significant drift' END AS status FROM psi""")(
     lambda spark, sf: r6(psi_table(spark, sf)))
 
+
+def psi_summaries_table(spark, sf):
+    """Counts per day, feature and cell, stored once per session."""
+    path = C.stored(spark, sf, "psi_summaries", lambda p: SU.summarise(FE.build_base(C.bk(spark, sf)), PSI_FEATURES).write.parquet(p))
+    return spark.read.parquet(path)
+
+
+_REFERENCE, _CURRENT = f"day < DATE '{DRIFT_DATE}'", f"CASE WHEN day >= DATE '{DRIFT_DATE}' THEN {{}} END"
+
+
+@query("psi_summaries", with_("ft") + ", " + PSI + """
+SELECT 'current' AS period, feature, round(psi, 6) AS psi, CAST(1 AS INTEGER) AS between, CASE WHEN psi < 0.1 THEN 'no significant drift'
+  WHEN psi <= 0.2 THEN 'moderate drift' ELSE 'significant drift' END AS status FROM psi""")
+def psi_summaries(spark, sf):
+    """The index of the rows from the stored counts, and whether its bounds hold it."""
+    d = SU.psi_between(psi_summaries_table(spark, sf), F.expr(_REFERENCE), F.expr(_CURRENT.format("'current'")))
+    held = F.col("psi").between(F.col("psi_low") - 1e-9, F.col("psi_high") + 1e-9).cast("int").alias("between")
+    return r6(d.select("period", "feature", "psi", held, "status"))
+
+
+@query("psi_weekly_summaries")
+def psi_weekly_summaries(spark, sf):
+    """The index of every week from the same counts, with its bounds."""
+    week = F.expr(_CURRENT.format("CAST(date_trunc('week', day) AS DATE)"))
+    return SU.psi_between(psi_summaries_table(spark, sf), F.expr(_REFERENCE), week, "week").withColumn("week", F.col("week").cast("string"))
+
+
 query("psi_status", with_("ft") + ", " + PSI + """
 SELECT feature, CASE WHEN psi < 0.1 THEN 'no significant drift' WHEN psi <= 0.2 THEN 'moderate drift'
   ELSE 'significant drift' END AS status, CAST(psi > 0.2 AS INTEGER) AS retrain FROM psi""")(
