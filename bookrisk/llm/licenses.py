@@ -25,7 +25,9 @@ empty table gives an empty result; other input columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
 from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,6 +113,18 @@ def bands(window: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(b), *[low(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
 
 
+def member(hashes: list[int]) -> Callable[[Column], Column]:
+    """Whether a hash is one of ``hashes``: these lie in buckets by remainder,
+    about one in each, in one constant (not an expression for each hash, which
+    takes the planner a minute)."""
+    size = 1 << len(hashes).bit_length()
+    buckets: list[list[int]] = [[] for _ in range(size)]
+    for h in hashes:
+        buckets[h % size].append(h)
+    constant = F.from_json(F.lit(json.dumps({"b": buckets}, separators=(",", ":"))), "b array<array<long>>")["b"]
+    return lambda h: F.array_contains(F.get(constant, F.pmod(h, F.lit(size)).cast("int")), h)
+
+
 def template_table(spark: SparkSession, templates=ALL) -> DataFrame:
     """(license, t_sh, n, g) of the templates; raises above the size bound."""
     if sum(len(t) for _, t in templates) > MAX_TEMPLATE_CHARS:
@@ -136,7 +150,8 @@ def scan(docs: DataFrame, templates=ALL, id_col: str = "doc_id", text_col: str =
 
     d = docs.select(F.col(id_col).alias("doc_id"), shingles(F.col(text_col).cast("string")).alias("sh"))
     # shingles that some template has, null elsewhere, and their 0-based places
-    d = d.select("doc_id", F.transform("sh", lambda h: F.when(h.isin(marks), h)).alias("sh"))
+    has = member(marks)
+    d = d.select("doc_id", F.transform("sh", lambda h: F.when(has(h), h)).alias("sh"))
     d = d.withColumn("at", F.filter(F.transform("sh", lambda h, i: F.when(h.isNotNull(), i)), lambda p: p.isNotNull()))
     d = d.where(F.size("at") > 0).withColumn("row", F.monotonically_increasing_id())
     w = d.select("doc_id", "row", "sh", "at", F.explode(F.filter(classes, lambda c: F.size("at") >= c["need"])).alias("c"))
