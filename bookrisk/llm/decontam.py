@@ -1,7 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and items are compared as lower-cased words joined by single spaces,
-so that case, punctuation and line breaks do not matter. An item of n
+so that case, punctuation, line breaks, the form of composed letters (NFKC)
+and invisible format characters do not matter. An item of n
 characters may differ by up to k = n // ``chars_per_edit`` insertions,
 deletions or replacements. It is cut into k + 1 pieces: k edits leave at
 least one piece untouched, so every occurrence holds an exact piece at, give
@@ -24,6 +25,7 @@ result; other input columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 
 from bookrisk.llm.common import text_slices
 
+#: Characters without a shape of their own: soft hyphen, zero-width and direction marks.
+_FORMAT = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _WORDS = re.compile(r"[^\W_]+")
 #: Thai to Khmer, kana, Chinese characters.
 _SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -44,7 +48,10 @@ MATCH = "doc_id long, item_id long, edits int, start int, length int"
 
 
 def normalise(text: str | None) -> str:
-    return " ".join(_WORDS.findall((text or "").lower()))
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _FORMAT.sub("", unicodedata.normalize("NFKC", text)).lower()
+    return " ".join(_WORDS.findall(text))
 
 
 def border(text: str, at: int) -> bool:
