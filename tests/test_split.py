@@ -68,3 +68,14 @@ def test_curves_of_scores_that_rounding_would_join(spark):
             assert abs(auc[m] - want) < 1e-12
             points = {x["threshold"]: (x["tp"], x["fp"]) for x in curve if x["model"] == m}
             assert points == {t: (sum(s >= t for s in pos), sum(s >= t for s in neg)) for t in {s for s, _ in own}}
+
+
+def test_a_class_is_not_one_task(spark):
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = spark.range(8000, numPartitions=8).select(F.col("id").alias("Booking_ID"), (F.col("id") % 4 == 0).cast("int").alias("No_Show"))
+        rows = SP.stratified(df, {"test": 0.2}).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert sum(r["count"] for r in rows) == 8000 and max(r["count"] for r in rows) <= 2000
