@@ -85,7 +85,7 @@ class FeatureEstimator(Estimator, _Set, DefaultParamsReadable, DefaultParamsWrit
 
 def fit(train: DataFrame, which: str, kind: str, settings: str = "script") -> PipelineModel:
     """Fit features and classifier on raw bookings with ``No_Show``."""
-    rows, total = TR.weighted(train, kind, settings)
+    rows, total = TR.weighted(TR.spread(train, train.count()), kind, settings)
     features = FeatureEstimator(featureSet=which).fit(rows)
     rest = Pipeline(stages=[VectorAssembler(inputCols=features.names(), outputCol="features", handleInvalid="keep"), *TR.estimator(kind, total, settings)])
     return PipelineModel([features, *rest.fit(features.transform(rows)).stages])

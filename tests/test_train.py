@@ -17,3 +17,13 @@ def test_settings_reach_the_estimators(spark, settings):
     assert gbt.getMinInfoGain() == pytest.approx(g["gamma"] / 1000) and gbt.getMinInstancesPerNode() == g["min_child"]
     with pytest.raises(ValueError, match="unknown model kind"):
         TR.estimator("svm", 1.0, settings)
+
+
+def test_rows_of_a_fit_are_spread_over_the_cores(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(cores * 1000, numPartitions=1)
+    monkeypatch.setattr(TR, "LEAST_ROWS", 1000)
+    assert TR.spread(df, cores * 1000).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(TR, "TASK_ROWS", 500)
+    monkeypatch.setattr(TR, "LEAST_ROWS", 100)
+    assert TR.spread(df, cores * 1000).rdd.getNumPartitions() == 2 * cores and TR.spread(df, 99).rdd.getNumPartitions() == 1
