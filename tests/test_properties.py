@@ -90,3 +90,24 @@ def test_skew_paths_equal_plain_windows(spark):
     ref2 = hot.select("Booking_ID", F.lag("Booking_ID").over(wl).alias("prev_ref"))
     j2 = lag.join(ref2, "Booking_ID")
     assert j2.where(~F.col("prev_Booking_ID").eqNullSafe(F.col("prev_ref"))).count() == 0
+
+
+def test_running_sums_move_few_rows_twice(spark):
+    """Keys of few rows go through one shuffle with their rows; large and null keys give the same sums."""
+    import random
+    from bookrisk.operators import prefix as PX
+    r = random.Random(5)
+    data = [(k, None if r.random() < 0.1 else f"1998-{r.randint(1, 12):02d}-{r.randint(1, 28):02d} 10:00:00", i, r.randint(0, 3))
+            for i in range(600) for k in [r.choice([1, 1, 1, 2, 3, None, None, *range(10, 40)])]]
+    df = spark.createDataFrame(data, "k int, t string, id int, v int").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    want = {}
+    for k in {x[0] for x in data}:
+        total = 0
+        for _, _, i, v in sorted((x for x in data if x[0] == k), key=lambda x: (x[1] is not None, x[1] or "", x[2])):
+            want[i], total = total, total + v
+    for most in (0, 30, 10_000):
+        got = PX.prior_sums(df, "k", "t", "id", {"s": F.col("v")}, whole_rows=most)
+        assert got.columns == ["k", "t", "id", "v", "s"] and {x["id"]: x["s"] for x in got.collect()} == want
+    plan = PX.prior_sums(df, "k", "t", "id", {"s": F.col("v")}, whole_rows=30)._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(key_" in line]
+    assert len(wide) == 1, plan  # the join takes the rows as they were dealt out
