@@ -143,7 +143,9 @@ def booking_score_log(bookings: DataFrame, scores: DataFrame, log: DataFrame) ->
 
 def anti_no_intervention(actions: DataFrame, log: DataFrame) -> DataFrame:
     """Bookings queued for a touch with no log row at all."""
-    queued = actions.where(F.col("action_type") != "NO_ACTION")
+    # a filter on a generated column, as above: else the action tree is inlined
+    # into the predicate and worked out again for it
+    queued = actions.withColumn("_queued", F.explode_outer(F.array(F.col("action_type") != "NO_ACTION"))).where("_queued").drop("_queued")
     return queued.join(log.select(F.col("booking_id").alias("Booking_ID")), "Booking_ID", "left_anti")
 
 
