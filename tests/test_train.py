@@ -27,3 +27,14 @@ def test_rows_of_a_fit_are_spread_over_the_cores(spark, monkeypatch):
     monkeypatch.setattr(TR, "TASK_ROWS", 500)
     monkeypatch.setattr(TR, "LEAST_ROWS", 100)
     assert TR.spread(df, cores * 1000).rdd.getNumPartitions() == 2 * cores and TR.spread(df, 99).rdd.getNumPartitions() == 1
+
+
+def test_a_forest_keeps_node_numbers_and_grows_the_same_trees(spark, monkeypatch):
+    from bookrisk.operators import metrics as M
+    from bookrisk.plans import common as C
+    assert not TR.estimator("rf", rows=TR.NODE_IDS)[-1].getCacheNodeIds() and TR.estimator("rf", rows=900_000)[-1].getCacheNodeIds()
+    train = M.split_two(TR.feature_table(C.bk(spark, "/root/testdata/sf0.001"))).where("split = 'train'").drop("split")
+    kept = TR.fit(train, "rf", trees=3).stages[-1].trees
+    monkeypatch.setattr(TR, "NODE_IDS", 0)
+    again = TR.fit(train, "rf", trees=3).stages[-1].trees
+    assert [t.toDebugString.partition("\n")[2] for t in kept] == [t.toDebugString.partition("\n")[2] for t in again]
