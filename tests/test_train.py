@@ -1,6 +1,7 @@
 """The groups of model settings reach the MLlib estimators."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from bookrisk.operators import train as TR
 
@@ -38,3 +39,25 @@ def test_a_forest_keeps_node_numbers_and_grows_the_same_trees(spark, monkeypatch
     monkeypatch.setattr(TR, "NODE_IDS", 0)
     again = TR.fit(train, "rf", trees=3).stages[-1].trees
     assert [t.toDebugString.partition("\n")[2] for t in kept] == [t.toDebugString.partition("\n")[2] for t in again]
+
+
+@pytest.mark.parametrize("kind", ["lr", "gbt", "leaves"])
+def test_a_fit_computes_its_rows_once(spark, kind):
+    from bookrisk.operators import boost as B
+    from bookrisk.operators import metrics as M
+    from bookrisk.plans import common as C
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+    train = M.split_two(TR.feature_table(C.bk(spark, "/root/testdata/sf0.001"))).where("split = 'train'").drop("split")
+    rows = train.withColumn("Lead_Time_Days", counted("Lead_Time_Days"))
+    if kind == "leaves":
+        with TR.prepared(rows) as (kept, n):
+            assert [len(B.refitted(kept, s, 2).values) for s in TR.SETTINGS] == [2, 2, 2]
+    else:
+        assert len(TR.fit(rows, kind, trees=2).stages) == (3 if kind == "lr" else 2)
+        n = train.count()
+    assert seen.value == n and not spark.sparkContext._jsc.getPersistentRDDs()
