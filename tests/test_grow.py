@@ -94,12 +94,13 @@ def test_cuts_and_codes():
     assert G.cuts(np.array([0.0, 0.0, 1.0, 3.0, 3.0, 0.0]), one, 6.0, 32).tolist() == [0.5, 2.0]
     assert G.cuts(np.zeros(6), one, 6.0, 32).tolist() == [] and G.cuts(np.array([-1.0, 1.0]), np.ones(2), 5.0, 32).tolist() == [-0.5, 0.5]
     assert len(G.cuts(np.arange(1000.0), np.ones(1000), 1000.0, 32)) == 31
-    odd = G.cuts(np.array([1.0, 2.0, float("nan"), float("nan")]), np.ones(4), 4.0, 32)
-    assert odd[0] == 1.5 and np.isnan(odd[1:]).all() and len(odd) == 3
-    lay = G.Layout([np.array([0.5]), odd, np.array([]), np.arange(31.0), np.arange(200.0)])
+    lay = G.Layout([np.array([0.5]), np.array([1.5, 2.5]), np.array([]), np.arange(31.0), np.arange(200.0)])
     assert sorted(f for x in lay.packed for f in x) == [0, 1, 3, 4] and max(lay.cells) <= 256
-    x = np.array([[0.0, 1.0, 9.0, 4.0, 77.5], [1.0, float("nan"), 9.0, 99.0, -1.0], [0.5, 3.0, 9.0, -5.0, 1e9]])
+    x = np.array([[0.0, 1.0, 9.0, 4.0, 77.5], [1.0, 2.5, 9.0, 99.0, -1.0], [0.5, 3.0, 9.0, -5.0, 1e9]])
     codes = lay.codes(x)
     got = [[int(lay.decoded[f][codes[lay.plane[f]][i]]) for f in (0, 1, 3, 4)] for i in range(3)]
-    assert got == [[0, 0, 4, 78], [1, G.nan_bin(odd), 31, 0], [0, 1, 0, 200]]
+    assert got == [[0, 0, 4, 78], [1, 1, 31, 0], [0, 2, 0, 200]]
+    for bad in (float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="NaN or Infinity"):
+            lay.codes(np.full((1, 5), bad))
     assert abs(np.mean(G.bag({"seed": 1, "bootstrap": True, "rate": 1.0}, 0, 0, 200_000)[1].sum() / 200_000) - 1) < 0.02
